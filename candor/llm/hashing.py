@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 #: Odd, so that every power has an inverse modulo 2**64.
@@ -19,7 +20,10 @@ _HIGH = U64(0xFFFFFFFF00000000)
 _LOW = U64(0xFFFFFFFF)
 
 #: Bytes handled at once; one longer text makes one larger chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+
+#: Rows of an Arrow batch that are turned into Python objects together.
+SLICE_ROWS = 256
 
 _tables: dict[int, np.ndarray] = {}
 
@@ -101,6 +105,15 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """A batch's texts as UTF-8 in parts of about CHUNK_BYTES, each with its first row's number; null is empty."""
+    data = batch.column(column).cast(pa.binary())
+    for at in range(0, len(data), SLICE_ROWS):
+        texts = [t or b"" for t in data.slice(at, SLICE_ROWS).to_pylist()]
+        for a, b in chunks(texts):
+            yield at + a, texts[a:b]
+
+
 def concatenated(texts: list[bytes], gap: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
     """All bytes with a gap byte behind each text, and where each text starts (one more at the end)."""
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))

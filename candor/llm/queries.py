@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_windows(_read(spark, sf_dir, "documents")).drop("text")
+    return dedup_windows(_read(spark, sf_dir, "documents"), texts=False)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,6 @@ from candor.llm import sketch as S
 SUB_WINDOW = 20
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [(t or "").encode() for t in batch.column(column).to_pylist()]
-
-
 def _candidates(texts: list[bytes], size: int, sub: int) -> tuple[H.Words, np.ndarray, np.ndarray]:
     """Words, sub-window hashes, and for each window start its sub-window (-1: no window starts there)."""
     words = H.Words(texts)
@@ -44,9 +40,8 @@ def _candidates(texts: list[bytes], size: int, sub: int) -> tuple[H.Words, np.nd
 
 def window_sketch(docs: DataFrame, size: int, sub: int, bits: int | None = None) -> S.Sketch:
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        texts = _texts(batch)
-        for a, b in H.chunks(texts):
-            _, grams, own = _candidates(texts[a:b], size, sub)
+        for _, texts in H.text_slices(batch):
+            _, grams, own = _candidates(texts, size, sub)
             yield grams[np.unique(own[own >= 0])]
 
     # about one sub-window is chosen in every (size - sub + 2) / 2 words of some six bytes
@@ -65,14 +60,14 @@ def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) ->
         known = shared.value
         hashes, ids, places = [], [], []
         for batch in batches:
-            texts, doc_ids = _texts(batch), batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in H.chunks(texts):
-                words, grams, own = _candidates(texts[a:b], size, sub)
+            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, texts in H.text_slices(batch):
+                words, grams, own = _candidates(texts, size, sub)
                 at = np.flatnonzero(own >= 0)
                 used, back = np.unique(own[at], return_inverse=True)
                 at = at[known.repeated(grams[used])[back]]
                 hashes.append(H.gram_hash(words.hash, size)[at])
-                ids.append(doc_ids[a:b][words.doc[at]])
+                ids.append(doc_ids[a + words.doc[at]])
                 places.append((at - words.first[words.doc[at]]).astype(np.int32))
         if not hashes:
             return
@@ -112,33 +107,33 @@ def repeated_starts(docs: DataFrame, size: int = 50, sub: int = SUB_WINDOW, bits
     return found.select("doc_id", F.struct("pos", F.greatest("len", F.lit(1)).alias("len")).alias("run")).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
-def dedup_windows(docs: DataFrame, size: int = 50, sub: int = SUB_WINDOW, bits: int | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_removed, text (kept words joined by a space), kept_sha256."""
+def dedup_windows(docs: DataFrame, size: int = 50, sub: int = SUB_WINDOW, bits: int | None = None, texts: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, unless texts is false, text (kept words joined by a space)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = _texts(batch), batch.column("runs").to_pylist()
-            n_words, n_removed, kept_texts, digests = [], [], [], []
-            for a, b in H.chunks(texts):
-                words = H.Words(texts[a:b])
-                for i in range(b - a):
-                    n = int(words.first[i + 1] - words.first[i])
-                    split = texts[a + i].split()
-                    if len(split) != n:
-                        raise ValueError("two ways to find words disagree")
+            doc_ids, found = batch.column("doc_id"), batch.column("runs")
+            for a, some in H.text_slices(batch):
+                n_words, n_removed, kept_texts, digests = [], [], [], []
+                for text, runs in zip(some, found.slice(a, len(some)).to_pylist(), strict=True):
+                    split = text.split()
+                    n = len(split)
                     gone = np.zeros(n + 1, dtype=np.int64)
-                    for run in found[a + i] or ():
-                        if run["pos"] >= n:  # of another row with this doc_id
-                            continue
-                        gone[run["pos"]] += 1
-                        gone[min(n, run["pos"] + run["len"] + size - 1)] -= 1
+                    for run in runs or ():
+                        if run["pos"] < n:  # else it is of another row with this doc_id
+                            gone[run["pos"]] += 1
+                            gone[min(n, run["pos"] + run["len"] + size - 1)] -= 1
                     keep = np.cumsum(gone[:n]) == 0
-                    kept = b" ".join(split if keep.all() else [split[k] for k in np.flatnonzero(keep)])
+                    kept = b" ".join([split[k] for k in np.flatnonzero(keep)] if runs else split)
                     n_words.append(n)
                     n_removed.append(n - int(keep.sum()))
-                    kept_texts.append(kept.decode())
                     digests.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "text", "kept_sha256"])
+                    kept_texts.append(kept)
+                columns = [doc_ids.slice(a, len(some)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                if texts:
+                    columns, names = [*columns, pa.array(kept_texts, pa.binary()).cast(pa.string())], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = docs.select("doc_id", "text").join(repeated_starts(docs, size, sub, bits), "doc_id", "left")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if texts else ""))
