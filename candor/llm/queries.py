@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import decontam
 from candor.llm import packing
+from candor.llm.repeats import remove_repeats
 from candor.llm.window_dedup import dedup_windows
 
 
@@ -33,8 +34,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_substring_dedup, op7_best_fit_packing, op9_decontamination]
+    found = [op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination]
     return {f.__name__: f for f in found}
 
 
