@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import decontam
+from candor.llm import ngram_join
 from candor.llm import packing
 from candor.llm.repeats import remove_repeats
 from candor.llm.window_dedup import dedup_windows
@@ -38,10 +39,14 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination]
+    found = [op2_ngram_jaccard_join, op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontam.ORACLE_SQL}
+    return {"op9_decontamination": decontam.ORACLE_SQL, "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL}

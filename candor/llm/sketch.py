@@ -60,45 +60,52 @@ def width_for(keys: float) -> int:
     return int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(keys, 1))) + 1)))
 
 
-def build(docs: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, heavy: int = 0) -> Sketch:
-    """Counts what keys() gives for the batches of docs; keys of a task are kept until it ends (8 bytes each)."""
+PARTIAL = "place int, cells binary"
+
+
+def partial(keys: np.ndarray, bits: int, counted: bool = False, local: int = 1) -> tuple[list[int], list[bytes]]:
+    """A task's sketch: places of blocks and their compressed cells. counted: cells hold counts even if all are 1.
+    local: leaves out keys that this task has fewer times (then estimates are no upper bounds any more)."""
+    top = bits - SPLIT
+    weights = None
+    if local > 1:
+        keys, weights = np.unique(keys, return_counts=True)
+        keys, weights = keys[weights >= local], weights[weights >= local]
+    press = zstandard.ZstdCompressor(level=1)
+    places, payloads = [], []
+    for row in range(ROWS):
+        cell, back, times = np.unique(_cells(keys, row, bits), return_inverse=True, return_counts=True)
+        if weights is not None:
+            times = np.bincount(back, weights, len(cell)).astype(np.int64)
+        edges = np.searchsorted(cell, np.arange((1 << SPLIT) + 1, dtype=U64) << U64(top))
+        for k in range(1 << SPLIT):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                body = np.diff(cell[a:b], prepend=U64(k << top)).astype(np.uint32).tobytes()
+                if counted or times[a:b].max() > 1:
+                    body += np.minimum(times[a:b], 65535).astype(np.uint16).tobytes()
+                places.append(row << SPLIT | k)
+                payloads.append(int(b - a).to_bytes(4, "little") + press.compress(body))
+    return places, payloads
+
+
+def merged(parts: DataFrame, bits: int, heavy: int = 0) -> Sketch:
+    """The sketch that all tasks' parts (place, cells) make together."""
     top = bits - SPLIT
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [k for b in batches for k in keys(b)]
-        if not found:
-            return
-        every = np.concatenate(found)
-        del found
-        press = zstandard.ZstdCompressor(level=1)
-        places, payloads = [], []
-        for row in range(ROWS):
-            cell, times = np.unique(_cells(every, row, bits), return_counts=True)
-            edges = np.searchsorted(cell, np.arange((1 << SPLIT) + 1, dtype=U64) << U64(top))
-            for k in range(1 << SPLIT):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    gaps = np.diff(cell[a:b], prepend=U64(k << top)).astype(np.uint32)
-                    body = gaps.tobytes() if not heavy and times[a:b].max() == 1 else gaps.tobytes() + np.minimum(times[a:b], 65535).astype(np.uint16).tobytes()
-                    places.append(row << SPLIT | k)
-                    payloads.append(int(b - a).to_bytes(4, "little") + press.compress(body))
-        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["place", "cells"])
-
-    def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << top, dtype=np.int64)
         expand = zstandard.ZstdDecompressor()
-        for part in parts:
-            for payload in part["cells"]:
-                n = int.from_bytes(payload[:4], "little")
-                body = expand.decompress(payload[4:])
-                at = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n).astype(np.int64))
-                total[at] += np.frombuffer(body, dtype=np.uint16, offset=4 * n).astype(np.int64) if len(body) > 4 * n else 1
-        yield pd.DataFrame({"place": [int(key[0])], "two": [np.packbits(total >= 2).tobytes()], "many": [np.packbits(total >= heavy).tobytes() if heavy else b""]})
-
-    made = docs.mapInArrow(count, "place int, cells binary").groupBy("place").applyInPandas(merge, "place int, two binary, many binary")
+        for payload in parts["cells"]:
+            n = int.from_bytes(payload[:4], "little")
+            body = expand.decompress(payload[4:])
+            at = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n).astype(np.int64))
+            total[at] += np.frombuffer(body, dtype=np.uint16, offset=4 * n).astype(np.int64) if len(body) > 4 * n else 1
+        return pd.DataFrame({"place": [int(key[0])], "two": [np.packbits(total >= 2).tobytes()], "many": [np.packbits(total >= heavy).tobytes() if heavy else b""]})
+
     out = Sketch(bits, heavy)
     wide = 1 << (top - 3)
-    for r in made.collect():  # at most 2 * ROWS bitmaps of a fixed size
+    for r in parts.groupBy("place").applyInPandas(merge, "place int, two binary, many binary").collect():  # bitmaps of a fixed size
         row, k = r["place"] >> SPLIT, r["place"] & ((1 << SPLIT) - 1)
         out.two[row, k * wide : (k + 1) * wide] = np.frombuffer(r["two"], dtype=np.uint8)
         if heavy:
@@ -106,5 +113,17 @@ def build(docs: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]
     return out
 
 
+def build(docs: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, heavy: int = 0) -> Sketch:
+    """Counts what keys() gives for the batches of docs; keys of a task are kept until it ends (8 bytes each)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [k for b in batches for k in keys(b)]
+        if found:
+            places, payloads = partial(np.concatenate(found), bits, bool(heavy))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["place", "cells"])
+
+    return merged(docs.mapInArrow(count, PARTIAL), bits, heavy)
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
