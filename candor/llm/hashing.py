@@ -16,6 +16,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_OTHER_VALUES = np.random.Generator(np.random.PCG64(20250301)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _HIGH = U64(0xFFFFFFFF00000000)
 _LOW = U64(0xFFFFFFFF)
 
@@ -66,8 +67,9 @@ def gram_hash(values: np.ndarray, n: int) -> np.ndarray:
     return mix((prefix[n:] - prefix[:m]) * _powers(_INVERSE, m))
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE_VALUES[data]
+def byte_values(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Random values of bytes; other: a second, independent choice, for hashes of 128 bits together."""
+    return (_OTHER_VALUES if other else _BYTE_VALUES)[data]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import decontam
+from candor.llm import line_dedup
 from candor.llm import ngram_join
 from candor.llm import packing
 from candor.llm.repeats import remove_repeats
@@ -43,8 +44,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ngram_jaccard_join, op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination]
+    found = [op2_ngram_jaccard_join, op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
