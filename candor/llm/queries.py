@@ -11,10 +11,12 @@ from candor.llm import line_dedup
 from candor.llm import ngram_join
 from candor.llm import packing
 from candor.llm.repeats import remove_repeats
+from candor.llm.shared import small_batches
 from candor.llm.window_dedup import dedup_windows
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes and rows of a batch that is handed to Python; texts may be long, and both sides hold a batch.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has set less itself."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset (tests on one machine) a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
