@@ -13,17 +13,20 @@ table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers at most; then it forgets all and starts again.
-REMEMBERED = 400_000
+#: If a worker remembers the ids of more words than this, it forgets all and starts again.
+REMEMBERED = 1_000_000
 #: Groups into which the pieces of a length are dealt for numbering.
 SALTS = 64
 
@@ -40,8 +43,19 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], dtype=np.int64)
 
 
+#: Characters below this have lower cases that depend on nothing else, and no combining marks are among them.
+_PLAIN_BELOW = 0x130
+_LETTERS = "".join(re.escape(chr(c)) for c in range(_PLAIN_BELOW) if unicodedata.category(chr(c))[0] == "L")
+_NUMBERS = "".join(chr(c) for c in range(_PLAIN_BELOW) if unicodedata.category(chr(c))[0] == "N")
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
+_NOT_PLAIN = re.compile(f"[^\\x00-{chr(_PLAIN_BELOW - 1)}]")
+#: What the tokenizer's pattern finds in plain lower-cased text.
+_PLAIN_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+
+
 class WordIds:
-    """Ids of texts by a tokenizer whose tokens never cross white space, remembered word by word."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and finds words by _PLAIN_WORDS' pattern for
+    all of Unicode; ids of words are remembered. Texts that aren't plain are cut at spaces and newlines only."""
 
     def __init__(self, path: str):
         import os
@@ -50,20 +64,37 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Many words in one go; those of one word each can be told apart again by the tokens that end words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(words):
+            body, cuts = ids.tobytes(), [0, *(4 * last + 4).tolist()]
+            return [body[a:b] for a, b in pairwise(cuts)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], size: int) -> None:
+        for i in range(0, len(words), size):
+            some = words[i : i + size]
+            self.known.update(zip(some, self._encode_words(some), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        plain = ["<|" not in t and (t.isascii() or not _NOT_PLAIN.search(t)) for t in texts]
+        split = [_PLAIN_WORDS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        if unknown := [k for k, ids in enumerate(found) if None in ids]:
+            self._learn(list({w for k in unknown if plain[k] for w in split[k]}.difference(self.known)), 500)
+            self._learn(list({w for k in unknown if not plain[k] for w in split[k]}.difference(self.known)), 1)
+            for k in unknown:
+                found[k] = map(self.known.__getitem__, split[k])
+        return list(map(b"".join, found))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
