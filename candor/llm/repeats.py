@@ -34,7 +34,7 @@ from candor.llm import sketch as S
 #: Bytes of an anchor.
 ANCHOR = 24
 #: From this count on, a hash's anchors aren't gathered.
-HEAVY = 4096
+HEAVY = 32768
 
 
 def _anchors(texts: list[bytes], size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
