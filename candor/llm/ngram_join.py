@@ -2,8 +2,9 @@
 
 Each document is the set of its word n-grams (64-bit hashes). Equal sets are one node. To reach a similarity, two sets
 must share an n-gram among the first few of each, in an order that all tasks agree on: n-grams that a merged sketch
-marks as frequent come last. Such leading n-grams that a second sketch counts twice or more are gathered; each
-n-gram's list gets its smallest set as hub, and every set on the list is sent to that hub once, however many n-grams
+marks as frequent come last. A second sketch counts the leading n-grams; a set of which too few may occur in another
+set's too is linked with none. The others' leading n-grams are gathered, apart for sizes that can't be linked; each
+list gets its smallest set as hub, and every set on the list is sent to that hub once, however many n-grams
 they share. So each pair that can reach the similarity meets at a hub, and no list is expanded into pairs.
 
 At a hub the sets' inverted lists answer a T-occurrence query for each set: DivideSkip merges the short lists with a
@@ -20,6 +21,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +56,28 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(H.mix(grams * np.uint64(m) + np.uint64(m >> 7)).sum(dtype=np.uint64).view(np.int64)) for m in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
 
+def prefix_length(n: int, percent: int) -> int:
+    """Of so many n-grams in the common order, sets of the similarity share one at least."""
+    return n - -(-percent * n // 100) + 1
+
+
 def leading(grams: np.ndarray, percent: int, frequent: S.Sketch) -> np.ndarray:
-    """The n-grams of which two sets of the similarity must share one: rare ones first, by hash."""
-    n = len(grams)
+    """The first n-grams in the common order, rare ones before frequent ones, then by hash: twice the prefix.
+
+    The first k n-grams that two linked sets share stand among the first prefix_length + k - 1 of each.
+    """
     late = frequent.is_heavy(grams)
-    return np.concatenate([grams[~late], grams[late]])[: n - -(-percent * n // 100) + 1]
+    return np.concatenate([grams[~late], grams[late]])[: 2 * prefix_length(len(grams), percent) - 1]
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many of its leading n-grams a set shares with a linked one of any size, also among the other's leading."""
+    return prefix_length(-(-percent * n // 100), percent)
+
+
+def size_class(n: int, percent: int) -> int:
+    """Sizes of linked sets are in one class or in neighbouring ones."""
+    return int(math.log(n) / (1.0001 * math.log(100 / percent)))
 
 
 def _base(docs: DataFrame, size: int) -> DataFrame:
@@ -99,7 +118,7 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
             yield np.concatenate([leading(g, percent, order.value) for g in gram_sets(texts, size)])
 
     # some six bytes a word, so many of its n-grams lead
-    repeated = context.broadcast(S.build(docs.select("text"), keys, S.width_for(S.total_bytes(docs) / 6 * (100 - percent) / 100)))
+    repeated = context.broadcast(S.build(docs.select("text"), keys, S.width_for(S.total_bytes(docs) / 6 * 2 * (100 - percent) / 100)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,11 +126,20 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
             for _, texts in H.text_slices(batch):
                 tokens, sets = [], []
                 for grams in gram_sets(texts, size):
-                    if len(grams) and (d1 := _digest(grams)[0]) not in seen:
-                        seen.add(d1)
-                        lead = leading(grams, percent, order.value)
-                        tokens.append(lead[repeated.value.repeated(lead)])
-                        sets.append(np.full(len(tokens[-1]), d1, np.int64))
+                    n = len(grams)
+                    if not n:
+                        continue
+                    lead = leading(grams, percent, order.value)
+                    maybe = repeated.value.repeated(lead)
+                    if maybe.sum() < least_shared(n, percent) or (d1 := _digest(grams)[0]) in seen:
+                        continue
+                    seen.add(d1)
+                    first = prefix_length(n, percent)
+                    chosen = lead[:first][maybe[:first]]
+                    # each list takes sets of two neighbouring classes of sizes
+                    for c in (size_class(n, percent), size_class(n, percent) + 1):
+                        tokens.append(H.mix(chosen ^ np.uint64(c)))
+                        sets.append(np.full(len(chosen), d1, np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(H.signed(np.concatenate(tokens))), pa.array(np.concatenate(sets))], names=["token", "d1"])
 
