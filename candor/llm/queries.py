@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import decontam
+from candor.llm import langid
 from candor.llm import line_dedup
 from candor.llm import ngram_join
 from candor.llm import packing
+from candor.llm import quality
 from candor.llm.repeats import remove_repeats
 from candor.llm.shared import small_batches
 from candor.llm.window_dedup import dedup_windows
@@ -50,8 +52,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_decisions(_read(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ngram_jaccard_join, op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination, op10_line_dedup]
+    found = [op1_language_id, op2_ngram_jaccard_join, op3_quality_mil, op4_suffix_array_dedup, op5_substring_dedup, op7_best_fit_packing, op9_decontamination, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
