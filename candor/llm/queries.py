@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import ann
+from candor.llm import compaction
 from candor.llm import decontam
 from candor.llm import langid
 from candor.llm import line_dedup
@@ -65,10 +66,14 @@ def op6_posting_list_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_ngram_jaccard_join, op3_quality_mil, op4_suffix_array_dedup, op5_substring_dedup, op6_posting_list_ann, op7_best_fit_packing, op9_decontamination, op10_line_dedup]
+    found = [op1_language_id, op2_ngram_jaccard_join, op3_quality_mil, op4_suffix_array_dedup, op5_substring_dedup, op6_posting_list_ann, op7_best_fit_packing, op8_sharding, op9_decontamination, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontam.ORACLE_SQL, "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL}
+    return {"op9_decontamination": decontam.ORACLE_SQL, "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op8_sharding": compaction.ORACLE_SQL}
