@@ -18,15 +18,14 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: If a worker remembers the ids of more words than this, it forgets all and starts again.
-REMEMBERED = 1_000_000
+#: If a worker remembers more parts, or more words, than this, it forgets them and starts again.
+REMEMBERED = 700_000
 #: Groups into which the pieces of a length are dealt for numbering.
 SALTS = 64
 
@@ -47,15 +46,39 @@ class Capacity:
 _PLAIN_BELOW = 0x130
 _LETTERS = "".join(re.escape(chr(c)) for c in range(_PLAIN_BELOW) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(_PLAIN_BELOW) if unicodedata.category(chr(c))[0] == "N")
-_BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
-_NOT_PLAIN = re.compile(f"[^\\x00-{chr(_PLAIN_BELOW - 1)}]")
-#: What the tokenizer's pattern finds in plain lower-cased text.
-_PLAIN_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+#: Python's split() takes these for white space too, the tokenizer doesn't.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
+_NOT_PLAIN = re.compile(f"[^\\x00-\\x1b\\x20-{chr(_PLAIN_BELOW - 1)}]")
+#: What the tokenizer's pattern finds in plain lower-cased text without white space.
+_PLAIN_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, the others for those from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+_AS_BYTES = {c: "".join(map(_byte_letters().__getitem__, chr(c).encode())) for c in range(_PLAIN_BELOW)}
+
+
+class _Remembered(dict):
+    """Learns what it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.learn(key)
+        return found
 
 
 class WordIds:
     """Ids of texts by a tokenizer that lower-cases, drops white space and finds words by _PLAIN_WORDS' pattern for
-    all of Unicode; ids of words are remembered. Texts that aren't plain are cut at spaces and newlines only."""
+    all of Unicode. Ids are remembered: of what stands between white space, and of the words in it. Texts that aren't
+    plain are cut at spaces and newlines only, and each part goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         import os
@@ -63,38 +86,21 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words in one go; those of one word each can be told apart again by the tokens that end words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) == len(words):
-            body, cuts = ids.tobytes(), [0, *(4 * last + 4).tolist()]
-            return [body[a:b] for a, b in pairwise(cuts)]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str], size: int) -> None:
-        for i in range(0, len(words), size):
-            some = words[i : i + size]
-            self.known.update(zip(some, self._encode_words(some), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = ["<|" not in t and (t.isascii() or not _NOT_PLAIN.search(t)) for t in texts]
-        split = [_PLAIN_WORDS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = [list(map(self.known.get, words)) for words in split]
-        if unknown := [k for k, ids in enumerate(found) if None in ids]:
-            self._learn(list({w for k in unknown if plain[k] for w in split[k]}.difference(self.known)), 500)
-            self._learn(list({w for k in unknown if not plain[k] for w in split[k]}.difference(self.known)), 1)
-            for k in unknown:
-                found[k] = map(self.known.__getitem__, split[k])
-        return list(map(b"".join, found))
+        tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
+        packed = lambda ids: np.array(ids, dtype="<u4").tobytes()
+        self.words = _Remembered(lambda w: packed([t.id for t in model.tokenize(w.translate(_AS_BYTES))]))
+        self.plain = _Remembered(lambda part: b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(part))))
+        self.other = _Remembered(lambda part: packed(tokenizer.encode(part, add_special_tokens=False).ids))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        for held in (self.words, self.plain, self.other):
+            if len(held) > REMEMBERED:
+                held.clear()
+        if "<|" in text or _NOT_PLAIN.search(text):
+            return b"".join(map(self.other.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.plain.__getitem__, text.lower().split()))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -109,18 +115,17 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, ids: b
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
             rows, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
-            for i in range(0, len(texts), 256):
-                for k, body in enumerate(words.encode(texts[i : i + 256]), i):
-                    body += tail
-                    for piece, at in enumerate(range(0, len(body), 4 * size)):
-                        part = body[at : at + 4 * size]
-                        rows.append(k)
-                        numbers.append(piece)
-                        starts.append(at // 4)
-                        lengths.append(len(part) // 4)
-                        sums.append(zlib.crc32(part))
-                        if ids:
-                            kept.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+            for k, text in enumerate(texts):
+                body = words.encode(text) + tail
+                for piece, at in enumerate(range(0, len(body), 4 * size)):
+                    part = body[at : at + 4 * size]
+                    rows.append(k)
+                    numbers.append(piece)
+                    starts.append(at // 4)
+                    lengths.append(len(part) // 4)
+                    sums.append(zlib.crc32(part))
+                    if ids:
+                        kept.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
             columns = [doc_ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if ids:
