@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.shared import written
+from candor.llm.shared import dropped, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,11 @@ def connected_components(links: DataFrame) -> DataFrame:
             picks = picks.alias("p").join(picks.alias("q"), F.col("p.to") == F.col("q.id")).select("p.id", "q.to")
         picks = written(picks, "picks")
         at = lambda c, out, df: df.join(picks.select(F.col("id").alias(c), F.col("to").alias(out)), c, "left")  # noqa: B023, E731
-        labels = written(at("component", "to", labels).select("id", F.coalesce("to", "component").alias("component")), "labels")
         redrawn = at("b", "y", at("a", "x", links)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        links = written(redrawn.where("a != b").distinct(), "links")
+        new_labels = written(at("component", "to", labels).select("id", F.coalesce("to", "component").alias("component")), "labels")
+        new_links = written(redrawn.where("a != b").distinct(), "links")
+        for old in (labels, links, picks):
+            dropped(old)
+        labels, links = new_labels, new_links
+    dropped(links)
     return labels

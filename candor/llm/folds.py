@@ -13,10 +13,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sampled(labelled: DataFrame, label: str, most: int, id_column: str = "doc_id") -> DataFrame:
-    """Rows with a label, of each label about most / labels at the most, chosen by a hash of the id.
-
-    Two times as many as asked for are never exceeded but by chance beyond any count that matters.
-    """
+    """Rows with a label, about most / labels of each label, chosen by a hash of the id; never more than 2 * most."""
     labelled = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # a row for each label
     if not counts:
@@ -26,4 +23,4 @@ def sampled(labelled: DataFrame, label: str, most: int, id_column: str = "doc_id
     for value, n in counts.items():
         at_most = int(min(1.0, share / n) * (1 << 32))
         chosen |= (F.col(label) == F.lit(value)) & (F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 32)) < at_most)
-    return labelled.where(chosen)
+    return labelled.where(chosen).limit(2 * most)

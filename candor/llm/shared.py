@@ -21,20 +21,37 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests on one machine) a temporary folder is made and set."""
+    """spark.checkpoint.dir; only where it is unset, and all runs in one process, a temporary folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _made.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        _made[context.applicationId] = found
     return found.rstrip("/")
 
 
+_paths: dict[int, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back with its schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made and nothing reads any more."""
+    spark, path = df.sparkSession, _paths.pop(id(df), None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -137,3 +137,17 @@ def dedup_windows(docs: DataFrame, size: int = 50, sub: int = SUB_WINDOW, bits:
 
     joined = docs.select("doc_id", "text").join(repeated_starts(docs, size, sub, bits), "doc_id", "left")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if texts else ""))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE doc_id > least),
+cut AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM dup)),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM cut GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM runs UNION ALL SELECT doc_id, max(hi), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(array_to_string(w[a + 1 : coalesce(b, len(w))], ' '), ' ' ORDER BY a) AS t FROM gaps JOIN d USING (doc_id) WHERE coalesce(b, len(w)) > a GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(hi - lo) AS n FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
