@@ -34,8 +34,8 @@ from candor.llm import sketch as S
 from candor.llm.components import connected_components
 from candor.llm.shared import written
 
-#: Sets at a hub that one task searches at once.
-BLOCK = 2048
+#: Sets at a hub that one task searches at once, and n-grams in them.
+BLOCK, BLOCK_GRAMS = 2048, 4 << 20
 #: n-grams counted so often come last in the order, and so often in a task to be counted at all.
 FREQUENT, LOCAL = 64, 4
 _FREQUENT_BITS = 20
@@ -109,7 +109,7 @@ def _base(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -> DataFrame:
-    """(d1, hub): the hubs to which each set goes."""
+    """(d1, n, hub): the hubs to which each set goes."""
     context = docs.sparkSession.sparkContext
     order = context.broadcast(frequent)
 
@@ -124,7 +124,7 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
         seen: set[int] = set()
         for batch in batches:
             for _, texts in H.text_slices(batch):
-                tokens, sets = [], []
+                tokens, sets, sizes = [], [], []
                 for grams in gram_sets(texts, size):
                     n = len(grams)
                     if not n:
@@ -140,12 +140,13 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
                     for c in (size_class(n, percent), size_class(n, percent) + 1):
                         tokens.append(H.mix(chosen ^ np.uint64(c)))
                         sets.append(np.full(len(chosen), d1, np.int64))
+                        sizes.append(np.full(len(chosen), n, np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(H.signed(np.concatenate(tokens))), pa.array(np.concatenate(sets))], names=["token", "d1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(H.signed(np.concatenate(tokens))), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], names=["token", "d1", "n"])
 
-    tokens = docs.select("text").mapInArrow(scan, "token long, d1 long")
+    tokens = docs.select("text").mapInArrow(scan, "token long, d1 long, n int")
     hubs = tokens.groupBy(F.col("token").alias("shared")).agg(F.min("d1").alias("hub"), F.max("d1").alias("most")).where("hub < most").drop("most")
-    return tokens.join(hubs, tokens.token == hubs.shared).select("d1", "hub").distinct()
+    return tokens.join(hubs, tokens.token == hubs.shared).select("d1", "n", "hub").distinct()
 
 
 def divide_skip(sets: list[np.ndarray], percent: int, chunks: list[int] | None = None) -> list[tuple[int, int]]:
@@ -216,8 +217,9 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
     base = both.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
     frequent = S.merged(both.where("place is not null").select("place", "cells"), _FREQUENT_BITS, FREQUENT)
     member = written(_memberships(docs, size, percent, frequent), "members")
-    chunked = member.groupBy("hub").count().where(F.col("count") > block).select("hub", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    dealt = member.join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    chunked = member.groupBy("hub").agg(needed.alias("parts")).where("parts > 1")
+    dealt = member.drop("n").join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
     sent = dealt.withColumn("part", part).select("d1", F.explode(places).alias("place")).groupBy("d1").agg(F.collect_list("place").alias("places"))

@@ -12,7 +12,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -90,22 +89,35 @@ def partial(keys: np.ndarray, bits: int, counted: bool = False, local: int = 1)
 
 
 def merged(parts: DataFrame, bits: int, heavy: int = 0) -> Sketch:
-    """The sketch that all tasks' parts (place, cells) make together."""
+    """The sketch that all tasks' parts (place, cells) make together. A place's parts pass one task as a stream, so what
+    it holds is one block, however many parts there are."""
     top = bits - SPLIT
 
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << top, dtype=np.int64)
-        expand = zstandard.ZstdDecompressor()
-        for payload in parts["cells"]:
-            n = int.from_bytes(payload[:4], "little")
-            body = expand.decompress(payload[4:])
-            at = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n).astype(np.int64))
-            total[at] += np.frombuffer(body, dtype=np.uint16, offset=4 * n).astype(np.int64) if len(body) > 4 * n else 1
-        return pd.DataFrame({"place": [int(key[0])], "two": [np.packbits(total >= 2).tobytes()], "many": [np.packbits(total >= heavy).tobytes() if heavy else b""]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            maps = [np.packbits(total >= 2).tobytes(), np.packbits(total >= heavy).tobytes() if heavy else b""]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], names=["place", "two", "many"])
+
+        expand, at, total = zstandard.ZstdDecompressor(), None, np.zeros(1 << top, dtype=np.int64)
+        for batch in batches:
+            for place, payload in zip(batch.column("place").to_pylist(), batch.column("cells"), strict=True):
+                if place != at:
+                    if at is not None:
+                        yield block()
+                    at = place
+                    total[:] = 0
+                payload = payload.as_py()
+                n = int.from_bytes(payload[:4], "little")
+                body = expand.decompress(payload[4:])
+                cell = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n).astype(np.int64))
+                total[cell] += np.frombuffer(body, dtype=np.uint16, offset=4 * n).astype(np.int64) if len(body) > 4 * n else 1
+        if at is not None:
+            yield block()
 
     out = Sketch(bits, heavy)
     wide = 1 << (top - 3)
-    for r in parts.groupBy("place").applyInPandas(merge, "place int, two binary, many binary").collect():  # bitmaps of a fixed size
+    sorted_parts = parts.repartition("place").sortWithinPartitions("place")
+    for r in sorted_parts.mapInArrow(merge, "place int, two binary, many binary").collect():  # bitmaps of a fixed size
         row, k = r["place"] >> SPLIT, r["place"] & ((1 << SPLIT) - 1)
         out.two[row, k * wide : (k + 1) * wide] = np.frombuffer(r["two"], dtype=np.uint8)
         if heavy:
