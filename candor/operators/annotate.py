@@ -12,7 +12,7 @@ Paths mode keeps paths of consistent records (operators.paths) in one Python gro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -98,7 +98,8 @@ def _merged(entries: Column) -> Column:
     """Map from variable to the sum of its exponents."""
     names = F.array_distinct(F.transform(entries, lambda e: e["var"]))
     total = lambda n: F.aggregate(F.filter(entries, lambda e: e["var"] == n), F.lit(0), lambda a, e: a + e["exponent"])
-    return F.map_from_arrays(names, F.transform(names, total))
+    # origins of one ts are rare; without them no name is searched for
+    return F.when(F.size(names) == F.size(entries), F.map_from_entries(entries)).otherwise(F.map_from_arrays(names, F.transform(names, total)))
 
 
 def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constraint | Domain], size: int, slide: int | None = None, emit: str = "first", keep_window: bool = False, mode: str = "exact") -> DataFrame:
@@ -139,18 +140,23 @@ def _by_paths(df: DataFrame, constraints: list[Constraint], size: int, slide: in
     every = df.select(columns).withColumn("win", F.explode(annotation_windows(F.col("ts"), size, slide))).withColumn("win_start", F.col("win.start")).withColumn("win_end", F.col("win.end")).drop("win")
     key_type, seq_type = df.schema["key"].dataType.simpleString(), df.schema["seq"].dataType.simpleString()
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        histories = [paths.history(c) for c in constraints]
-        out = []
-        for r in rows.sort_values(["ts", "seq"]).to_dict("records"):
-            found: dict[str, int] = {}
-            for h in histories:
-                found |= h.add(r)
-            if emit == "all" or paths.windows_of(r["ts"], size, slide)[0] == (r["win_start"], r["win_end"]):
-                out.append((r["key"], r["seq"], r["win_start"], found))
-        return pd.DataFrame(out, columns=["key", "seq", "win_start", "found"])
-
-    return every.groupBy("key", "win_start", "win_end").applyInPandas(walk, f"key {key_type}, seq {seq_type}, win_start bigint, found map<string,int>")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # groups follow each other, so one history is held at a time
+        at, histories = None, []
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                if at != (group := (r["key"], r["win_start"], r["win_end"])):
+                    at, histories = group, [paths.history(c) for c in constraints]
+                found: dict[str, int] = {}
+                for h in histories:
+                    found |= h.add(r)
+                if emit == "all" or paths.windows_of(r["ts"], size, slide)[0] == (r["win_start"], r["win_end"]):
+                    out.append((r["key"], r["seq"], r["win_start"], found))
+            yield pd.DataFrame(out, columns=["key", "seq", "win_start", "found"])
+
+    grouped = every.repartition("key", "win_start", "win_end").sortWithinPartitions("key", "win_start", "win_end", "ts", "seq")
+    return grouped.mapInPandas(walk, f"key {key_type}, seq {seq_type}, win_start bigint, found map<string,int>")
 
 
 def annotate_some(df: DataFrame, constraints, size: int, slide: int | None = None, percent: int = 100, chosen: Column | None = None, **how) -> DataFrame:

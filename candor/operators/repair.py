@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,15 +78,30 @@ def screen(t: np.ndarray, v: np.ndarray, low: float | None = None, high: float |
 
 def repair(df: DataFrame, column: str, size: int, slide: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
     """Replaces a column by its repaired values; each record is repaired once, with its key's records of the earliest
-    window that holds it. One Python group for each key and window."""
+    window that holds it. Groups stand one behind the other in a task, which holds one group and a batch at a time."""
     kind = df.schema[column].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
     win = first_window(F.col("ts"), size, slide or size)["start"]
 
-    def fix(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        fixed = screen(rows["ts"].to_numpy(dtype=float), pd.to_numeric(rows[column]).to_numpy(dtype=float), low, high)
-        rows[column] = np.trunc(fixed).astype("int64") if kind in ("int", "bigint", "smallint", "tinyint") else fixed
-        return rows.drop(columns="_win")
-
-    schema = df.schema
-    return df.withColumn("_win", win).groupBy("key", "_win").applyInPandas(fix, schema)
+    def fixed(rows: pd.DataFrame) -> pd.DataFrame:
+        values, ts = pd.to_numeric(rows[column]).to_numpy(dtype=float), rows["ts"].to_numpy(dtype=float)
+        first = np.flatnonzero((rows["key"] != rows["key"].shift()) | (rows["_win"] != rows["_win"].shift()))
+        out = np.concatenate([screen(ts[a:b], values[a:b], low, high) for a, b in zip(first, [*first[1:], len(rows)], strict=True)])
+        return rows.assign(**{column: np.trunc(out).astype("int64") if whole else out}).drop(columns="_win")
+
+    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = (batch["key"] == batch["key"].iloc[-1]) & (batch["_win"] == batch["_win"].iloc[-1])
+            if last.all():
+                held.append(batch)
+                continue
+            yield fixed(pd.concat([*held, batch[~last]]) if held else batch[~last])
+            held = [batch[last]]
+        if held:
+            yield fixed(pd.concat(held))
+
+    grouped = df.withColumn("_win", win).repartition("key", "_win").sortWithinPartitions("key", "_win", "ts", "seq")
+    return grouped.mapInPandas(fix, df.schema)
