@@ -122,16 +122,21 @@ def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constrai
     window = F.explode(annotation_windows(F.col("ts"), size, slide)) if emit == "all" else first_window(F.col("ts"), size, slide)
     out = df.withColumn("_win", window).withColumn("win_start", F.col("_win.start")).withColumn("win_end", F.col("_win.end")).drop("_win")
     if not paired:
-        out = out.withColumn("_found", algebra.one())
+        out = out.withColumns({"_found": algebra.one(), "_degree": F.lit(0)})
     elif mode == "paths":
-        out = out.join(_by_paths(df, paired, size, slide, emit), ["key", "seq", "win_start"], "left").select(out["*"], F.col("found").alias("_found"))
+        found = _by_paths(df, paired, size, slide, emit).withColumn("_degree", algebra.degree(F.col("found")))
+        out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], F.col("found").alias("_found"), "_degree")
     else:
         pairs = reduce(DataFrame.unionByName, [_pairs(df, c, size, slide, emit) for c in paired])
-        found = pairs.groupBy("key", "seq", "win_start").agg(F.collect_list(F.struct("var", "exponent")).alias("entries"))
-        found = found.select("key", "seq", "win_start", _merged(F.col("entries")).alias("_found"))
-        out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], "_found")
-    marks = [F.when(c.column(), F.map_from_arrays(F.array(F.concat(F.lit(c.name + "_"), F.col("ts").cast("string"))), F.array(F.lit(1)))).otherwise(algebra.one()) for c in constraints if isinstance(c, Domain)]
-    out = with_annotation(out, algebra.times(F.col("_found"), *marks)).drop("_found")
+        # the degree has a sum of its own: where no variables are asked for, no list is collected
+        found = pairs.groupBy("key", "seq", "win_start").agg(F.sum("exponent").cast("int").alias("_degree"), F.collect_list(F.struct("var", "exponent")).alias("entries"))
+        found = found.select("key", "seq", "win_start", "_degree", _merged(F.col("entries")).alias("_found"))
+        out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], "_found", "_degree")
+    domains = [c for c in constraints if isinstance(c, Domain)]
+    marks = [F.when(c.column(), F.map_from_arrays(F.array(F.concat(F.lit(c.name + "_"), F.col("ts").cast("string"))), F.array(F.lit(1)))).otherwise(algebra.one()) for c in domains]
+    degree = reduce(lambda a, b: a + b, [F.coalesce(F.col("_degree"), F.lit(0)), *[c.column().cast("int") for c in domains]])
+    out = out.withColumn("ann_vars", algebra.times(F.col("_found"), *marks)).withColumn("ann_degree", degree)
+    out = out.withColumns({"ann_degree_sum": F.col("ann_degree"), "ann_n_incons": (F.col("ann_degree") > 0).cast("int")}).drop("_found", "_degree")
     return out if emit == "all" or keep_window else out.drop("win_start", "win_end")
 
 
