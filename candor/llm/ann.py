@@ -1,9 +1,9 @@
 """Approximate nearest neighbours with balanced posting lists on disk and a graph of their centroids in memory.
 
 Centroids are fitted on a bounded sample by balanced k-means: lists that grow too long are split in two. Every vector
-is indexed: under its nearest centroid, and also under further ones whose distance is at most (1 + `boundary`) times the
-nearest, unless a centroid already chosen is nearer to that one than the vector is (so replicas point in different
-directions). Only the centroids, at most `most_centroids`, are held in memory and broadcast, with a neighbour graph that
+is indexed: under its nearest centroid, and also under further ones, `replicas` in all, whose distance is at most
+(1 + `boundary`) times the nearest. (Leaving out centroids that lie near one already chosen is no option where centroids
+are nearer to each other than vectors are to them, as in many dimensions: then no vector would have a replica.) Only the centroids, at most `most_centroids`, are held in memory and broadcast, with a neighbour graph that
 best-first search walks; the graph's start points are spread over the centroids. A query reads the lists whose centroid
 is at most (1 + `prune`) times as far as the nearest, and `most_lists` at most; lists longer than `block` rows are cut
 into parts that tasks read one by one. Distances are exact, in double precision.
@@ -37,7 +37,7 @@ class Settings:
     most_centroids: int = 4096
     boundary: float = 0.15
     replicas: int = 4
-    prune: float = 0.35
+    prune: float = 0.2
     most_lists: int = 96
     degree: int = 24  # of the graph
     beam: int = 160
@@ -127,14 +127,8 @@ def _pruned(graph: Graph, q: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def _replicas(graph: Graph, q: np.ndarray, s: Settings) -> list[int]:
-    near, far = graph.search(q, max(16, 4 * s.replicas))
-    kept: list[int] = []
-    for c, d in zip(near.tolist(), far.tolist(), strict=True):
-        if len(kept) == s.replicas or d > (1 + s.boundary) * far[0] + 1e-12:
-            break
-        if all(((graph.c[c] - graph.c[o]) ** 2).sum() > d * d for o in kept):
-            kept.append(c)
-    return kept
+    near, far = graph.search(q, max(32, 4 * s.replicas))
+    return near[: s.replicas][far[: s.replicas] <= (1 + s.boundary) * far[0] + 1e-12].tolist()
 
 
 def build(rows: DataFrame, s: Settings) -> tuple[DataFrame, Graph | None]:
