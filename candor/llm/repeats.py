@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
 from candor.llm import sketch as S
+from candor.llm.shared import written
 
 #: Bytes of an anchor.
 ANCHOR = 24
@@ -237,7 +238,8 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
             spread = H.signed(H.mix(doc[first].view(np.uint64) ^ pos[first].astype(np.uint64)))
             yield from _batches(ranges, spread, spread, doc[first], pos[first], pos[last] + size)
 
-    windows = docs.select("doc_id", "text").mapInArrow(scan, "wh long, h long, doc_id long, lo long, hi long")
+    # read twice: by the aggregation and by the join
+    windows = written(docs.select("doc_id", "text").mapInArrow(scan, "wh long, h long, doc_id long, lo long, hi long"), "windows")
     least = windows.where("hi = 0").groupBy(F.col("wh").alias("wh1"), F.col("h").alias("h1")).agg(F.min(F.struct("doc_id", "lo")).alias("least"), F.count("*").alias("n")).where("n > 1")
     found = windows.join(least, (windows.wh == least.wh1) & (windows.h == least.h1), "left").where("hi > 0 or struct(doc_id, lo) > least")
     return found.select("doc_id", "lo", F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.col("lo") + size).alias("hi"))
