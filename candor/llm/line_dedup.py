@@ -91,6 +91,14 @@ class Lines:
         return np.stack(out, axis=1)
 
 
+def distinct_in_rows(keys: np.ndarray) -> np.ndarray:
+    """The keys of all lines, each once a line: a key of two lines stands there twice, wherever the lines stand."""
+    keys = np.sort(keys, axis=1)
+    first = np.ones(keys.shape, dtype=bool)
+    first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return keys[first]
+
+
 def within(a: bytes, b: bytes, edits: int) -> bool:
     """Whether two byte strings are within so many edits of each other.
 
@@ -195,7 +203,7 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int) -> DataFrame
                 h2 = H.span_hash(other, lines.start[rows], lines.start[rows] + lines.size[rows])
                 for column, x in zip(found, (h1, h2, doc_ids[a + lines.doc[rows]], lines.number[rows]), strict=True):
                     column.append(x)
-                keys.append(np.unique(lines.keys(rows[np.unique(h1, return_index=True)[1]], edits)))
+                keys.append(distinct_in_rows(lines.keys(rows[np.unique(h1, return_index=True)[1]], edits)))
         if not keys:
             return
         h1, h2, doc, line = (np.concatenate(c) for c in found)

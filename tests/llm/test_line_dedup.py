@@ -82,3 +82,15 @@ def test_same_as_brute_force_whatever_the_block_size(spark):
 
 def test_empty_table(spark):
     assert line_decisions(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_near_lines_of_one_slice_are_found(spark, apart):
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    pairs = [(x, x[:20] + "Z" + x[21:]) for x in (make() for _ in range(20))]
+    texts = [t for a, b in pairs for t in ((a, b) if apart else (f"{a}\n{b}",))]
+    docs = spark.createDataFrame([(1, i, t, "z") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    want = brute(list(enumerate(texts)))
+    assert sum(len(x) for _, x in want.values()) == 20
+    assert got(line_decisions(docs)) == want
