@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-A line is what newlines separate; edit distance counts UTF-8 bytes. Lines of `least` bytes or more take part. A line
+A line is what newlines separate; edit distance counts UTF-8 bytes. Lines of `least` bytes or more take part; with
+`short`, lines below that which aren't blank (bytes \\x20 and \\x09-\\x0D alone) take part as equal lines only. A line
 goes if an equal one, or one within `edits` edits, stands earlier (smaller doc_id, then smaller line number). All
 lines are judged on the input, not on what is left.
 
@@ -72,6 +73,11 @@ class Lines:
         self.count = np.diff(first)
         self.prefix = H.prefix_sums(H.byte_values(self.data))
 
+    def filled(self) -> np.ndarray:
+        """Whether a line has more than white space."""
+        before = np.concatenate([[0], np.cumsum(~H.SPACE[self.data])])
+        return before[self.start + self.size] > before[self.start]
+
     def hash(self, rows: np.ndarray) -> np.ndarray:
         return H.span_hash(self.prefix, self.start[rows], self.start[rows] + self.size[rows])
 
@@ -187,7 +193,7 @@ def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_FIRST)
 
 
-def _first_scan(docs: DataFrame, least: int, edits: int, bits: int) -> DataFrame:
+def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[], [], [], []]
         keys = []
@@ -197,13 +203,14 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int) -> DataFrame
             for a, texts in H.text_slices(batch):
                 lines = Lines(texts)
                 yield _rows(DOCUMENT, len(texts), doc_id=doc_ids[a : a + len(texts)], line=np.where(null[a : a + len(texts)], 0, lines.count))
-                rows = np.flatnonzero(lines.size >= least)
+                rows = np.flatnonzero((lines.size >= least) | lines.filled() if short else lines.size >= least)
                 other = H.prefix_sums(H.byte_values(lines.data, other=True))
                 h1 = lines.hash(rows)
                 h2 = H.span_hash(other, lines.start[rows], lines.start[rows] + lines.size[rows])
                 for column, x in zip(found, (h1, h2, doc_ids[a + lines.doc[rows]], lines.number[rows]), strict=True):
                     column.append(x)
-                keys.append(distinct_in_rows(lines.keys(rows[np.unique(h1, return_index=True)[1]], edits)))
+                once = rows[np.unique(h1, return_index=True)[1]]
+                keys.append(distinct_in_rows(lines.keys(once[lines.size[once] >= least], edits)))
         if not keys:
             return
         h1, h2, doc, line = (np.concatenate(c) for c in found)
@@ -242,12 +249,12 @@ def _second_scan(docs: DataFrame, least: int, edits: int, shared) -> DataFrame:
     return written(docs.select("text").mapInArrow(scan, "h1 long, keys array<long>, line binary"), "candidates")
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(counts(doc_id, n_lines), removed(doc_id, lines array<long>))."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     # some 15 keys in each line of some 200 bytes
     bits = bits or S.width_for(S.total_bytes(docs) / 14)
-    first = _first_scan(docs, least, edits, bits)
+    first = _first_scan(docs, least, edits, bits, short)
     sketch = S.merged(first.where(F.col("kind") == PART).select("place", "cells"), bits)
     candidates = _second_scan(docs, least, edits, docs.sparkSession.sparkContext.broadcast(sketch))
 
@@ -288,9 +295,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     return first.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("line").alias("n_lines")), removed
 
 
-def line_decisions(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None) -> DataFrame:
+def line_decisions(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0, ascending)."""
-    counts, removed = removed_lines(docs, least, edits, block, bits)
+    counts, removed = removed_lines(docs, least, edits, block, bits, short)
     lines = F.coalesce("lines", F.array().cast("array<long>"))
     return counts.join(removed, "doc_id", "left").select("doc_id", "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
 

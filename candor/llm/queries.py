@@ -42,7 +42,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(_read(spark, sf_dir, "documents"))
+    return line_dedup.line_decisions(_read(spark, sf_dir, "documents"), short=True)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from candor.llm import line_dedup
 from candor.llm.line_dedup import dedup_lines, line_decisions, repeated_in_block, within
+from candor.llm.queries import op10_line_dedup
 
 SCHEMA = "line int, doc_id long, text string, h1 string"
 
@@ -94,3 +95,9 @@ def test_near_lines_of_one_slice_are_found(spark, apart):
     want = brute(list(enumerate(texts)))
     assert sum(len(x) for _, x in want.values()) == 20
     assert got(line_decisions(docs)) == want
+
+
+def test_query_cuts_equal_lines_of_any_length(spark, tmp_path):
+    texts = ["Ietzte.\n \n\nx\nAll rights reserved.", "Ietzte.\nIetzta.\n \n\nx", "é\nAll rights reserved.\n\t\né", None, ""]
+    spark.createDataFrame([(1, i, t, "z") for i, t in enumerate(texts)], SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(op10_line_dedup(spark, str(tmp_path))) == {0: (5, []), 1: (5, [0, 4]), 2: (4, [1, 3]), 3: (0, []), 4: (1, [])}
