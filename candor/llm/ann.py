@@ -5,8 +5,10 @@ is indexed: under its nearest centroid, and also under further ones, `replicas`
 (1 + `boundary`) times the nearest. (Leaving out centroids that lie near one already chosen is no option where centroids
 are nearer to each other than vectors are to them, as in many dimensions: then no vector would have a replica.) Only the centroids, at most `most_centroids`, are held in memory and broadcast, with a neighbour graph that
 best-first search walks; the graph's start points are spread over the centroids. A query reads the lists whose centroid
-is at most (1 + `prune`) times as far as the nearest, and `most_lists` at most; lists longer than `block` rows are cut
-into parts that tasks read one by one. Distances are exact, in double precision.
+is at most (1 + `prune`) times as far as the nearest, up to `most_lists`, but never less than the nearest `share` of all
+lists: with a fixed number of lists recall falls as tables grow. Where that share is more than `beam`, centroids are
+ranked by all distances instead of the graph. Lists longer than `block` rows are cut into parts that tasks read one by
+one. Distances are exact, in double precision.
 
 Defined results: vectors that are null, all zero, of another length than most, or with null or non-finite parts take no
 part, neither as queries nor as candidates; a query is never its own neighbour; equal distances go to the smaller
@@ -18,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from candor.llm.shared import written
 
 
+#: Queries whose lists one batch holds.
+ROUTED = 16
+
+
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000  # vectors that centroids are fitted on
@@ -39,6 +46,7 @@ class Settings:
     replicas: int = 4
     prune: float = 0.2
     most_lists: int = 96
+    share: float = 0.15  # of the lists, read at least
     degree: int = 24  # of the graph
     beam: int = 160
     block: int = 4096
@@ -122,8 +130,15 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pruned(graph: Graph, q: np.ndarray, s: Settings) -> np.ndarray:
-    near, far = graph.search(q, s.beam)
-    return near[: s.most_lists][far[: s.most_lists] <= (1 + s.prune) * far[0] + 1e-12]
+    least = math.ceil(s.share * len(graph.c))
+    if least > s.beam:
+        d = np.sqrt(((graph.c - q) ** 2).sum(1))
+        near = np.argsort(d, kind="stable")
+        far = d[near]
+    else:
+        near, far = graph.search(q, s.beam)
+    within = int((far[: s.most_lists] <= (1 + s.prune) * far[0] + 1e-12).sum())
+    return near[: max(within, least)]
 
 
 def _replicas(graph: Graph, q: np.ndarray, s: Settings) -> list[int]:
@@ -166,9 +181,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, s: Settings = Sett
         graph, sizes = shared.value
         for batch in batches:
             _, v = _rows(batch)
-            out = [(i, c, p) for i, q in enumerate(v) for c in _pruned(graph, q, s).tolist() for p in range(sizes.get(c, 0))]
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)], names=["list", "part", "query_id", "q"])
+            for a in range(0, len(v), ROUTED):
+                out = [(a + i, c, p) for i, q in enumerate(v[a : a + ROUTED]) for c in _pruned(graph, q, s).tolist() for p in range(sizes.get(c, 0))]
+                at = pa.array([o[0] for o in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)], names=["list", "part", "query_id", "q"])
 
     routed = queries.mapInArrow(route, "list int, part int, query_id long, q array<double>")
     parts = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("count") / s.block)).cast("int")

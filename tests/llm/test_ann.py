@@ -62,3 +62,11 @@ def test_graph_search_finds_nearest_centroids():
     graph = Graph(c, 24)
     hit = sum(len(set(graph.search(q, 64)[0][:10].tolist()) & set(np.argsort(_squares(q[None], c)[0])[:10].tolist())) for q in x[:50])
     assert hit >= 490
+
+
+def test_lists_read_grow_with_the_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32)).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(1, i, v) for i, v in rows], SCHEMA)
+    assert recall(got(search(df, s=Settings(per_list=8, most_lists=4))), brute(rows)) >= 0.9
