@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ONE = "map()"
-VARS_TYPE = "map<string,int>"
+VARS_TYPE = "map<string,bigint>"
 
 
 def one() -> Column:
@@ -23,13 +23,13 @@ def one() -> Column:
 
 def times(*monomials: Column) -> Column:
     """Product of monomials: exponents of a variable add up; null counts as the constant."""
-    merge = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    merge = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0).cast("bigint")) + F.coalesce(y, F.lit(0).cast("bigint")))
     return reduce(merge, [F.coalesce(m, one()) for m in monomials])
 
 
 def product(poly: Column) -> Column:
     """All monomials of a polynomial multiplied into one, as a product of polynomials does."""
-    merge = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    merge = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0).cast("bigint")) + F.coalesce(y, F.lit(0).cast("bigint")))
     return F.aggregate(poly, one(), merge)
 
 
@@ -39,7 +39,7 @@ def plus(polys: Column) -> Column:
 
 
 def degree(monomial: Column) -> Column:
-    return F.aggregate(F.map_values(monomial), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.map_values(monomial), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def cardinality(monomial: Column) -> Column:
@@ -47,11 +47,11 @@ def cardinality(monomial: Column) -> Column:
 
 
 def degree_sum(poly: Column) -> Column:
-    return F.aggregate(poly, F.lit(0), lambda a, m: a + degree(m))
+    return F.aggregate(poly, F.lit(0).cast("bigint"), lambda a, m: a + degree(m))
 
 
 def max_degree(poly: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(poly, degree)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(poly, degree)), F.lit(0).cast("bigint"))
 
 
 def simplify(monomial: Column, first: str, second: str) -> Column:
@@ -60,7 +60,7 @@ def simplify(monomial: Column, first: str, second: str) -> Column:
     def rest(name: Column, exponent: Column) -> Column:
         swap = lambda a, b: F.concat(F.lit(b), F.substring(name, len(a) + 1, 1 << 20))
         partner = F.when(F.startswith(name, F.lit(first + "_")), swap(first, second)).when(F.startswith(name, F.lit(second + "_")), swap(second, first))
-        return exponent - F.coalesce(F.try_element_at(monomial, partner), F.lit(0))
+        return exponent - F.coalesce(F.try_element_at(monomial, partner), F.lit(0).cast("bigint"))
 
     return F.map_filter(F.transform_values(monomial, rest), lambda _, x: x > 0)
 
@@ -68,7 +68,7 @@ def simplify(monomial: Column, first: str, second: str) -> Column:
 def exponents(monomial: Column, prefix: str = "") -> Column:
     """Set of exponents of variables with a prefix; {0} if there is none."""
     found = F.array_distinct(F.map_values(F.map_filter(monomial, lambda k, _: F.startswith(k, F.lit(prefix)))))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0).cast("bigint")))
 
 
 def origin_ts(variable: Column) -> Column:
@@ -88,7 +88,8 @@ def quantify_without(poly: Column, prefixes: list[str]) -> Column:
 
 def text(monomial: Column) -> Column:
     """Canonical text, variables in order: 1<SC_3>^2<SC_7>^1. Exponents of zero or less are left out."""
-    entries = F.array_sort(F.filter(F.map_entries(monomial), lambda e: e["value"] > 0))
+    # sort_array compares structs in compiled code; array_sort would call a lambda for each comparison
+    entries = F.sort_array(F.filter(F.map_entries(monomial), lambda e: e["value"] > 0))
     return F.concat(F.lit("1"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit("<"), e["key"], F.lit(">^"), e["value"].cast("string"))), ""))
 
 

@@ -7,6 +7,8 @@ it is inside the tightest, which running extremes give in one pass, and only rec
 history. A key constraint adds its columns to the join keys. Where slide doesn't divide size the windows themselves are
 the join key, as then the grid's early windows differ from later ones.
 
+Blocks mode gives the same results for dense histories: matrices instead of joined pairs (operators.blocks).
+
 Paths mode keeps paths of consistent records (operators.paths) in one Python group for each key and window.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.functions import algebra
-from candor.operators import paths
+from candor.operators import blocks, paths
 from candor.operators.constraints import Constraint, Domain, SpeedConstraint
 from candor.operators.windows import annotation_windows, first_window
 
@@ -41,7 +43,7 @@ def unannotated(df: DataFrame) -> DataFrame:
 
 def annotate_domain(df: DataFrame, constraint: Domain, ts: str = "ts") -> DataFrame:
     """Record by record, without history or shuffle."""
-    mark = F.map_from_arrays(F.array(F.concat(F.lit(constraint.name + "_"), F.col(ts).cast("string"))), F.array(F.lit(1)))
+    mark = F.map_from_arrays(F.array(F.concat(F.lit(constraint.name + "_"), F.col(ts).cast("string"))), F.array(F.lit(1).cast("bigint")))
     return with_annotation(df, F.when(constraint.column(), mark).otherwise(algebra.one()))
 
 
@@ -91,22 +93,24 @@ def _pairs(df: DataFrame, constraint: Constraint, size: int, slide: int, emit: s
     distance = constraint.distance(_fields("o"), _fields("r"))
     found = origins.alias("o").join(records.alias("r"), reduce(lambda a, b: a & b, [*on, *equal, _before(), distance != 0]))
     name = F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string"))
-    return found.select("r.key", "r.seq", "r.win_start", name.alias("var"), F.ceil(F.abs(distance)).cast("int").alias("exponent"))
+    return found.select("r.key", "r.seq", "r.win_start", name.alias("var"), F.ceil(F.abs(distance)).alias("exponent"))
 
 
 def _merged(entries: Column) -> Column:
     """Map from variable to the sum of its exponents."""
     names = F.array_distinct(F.transform(entries, lambda e: e["var"]))
-    total = lambda n: F.aggregate(F.filter(entries, lambda e: e["var"] == n), F.lit(0), lambda a, e: a + e["exponent"])
+    total = lambda n: F.aggregate(F.filter(entries, lambda e: e["var"] == n), F.lit(0).cast("bigint"), lambda a, e: a + e["exponent"])
     # origins of one ts are rare; without them no name is searched for
     return F.when(F.size(names) == F.size(entries), F.map_from_entries(entries)).otherwise(F.map_from_arrays(names, F.transform(names, total)))
 
 
-def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constraint | Domain], size: int, slide: int | None = None, emit: str = "first", keep_window: bool = False, mode: str = "exact") -> DataFrame:
+def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constraint | Domain], size: int, slide: int | None = None, emit: str = "first", keep_window: bool = False, mode: str = "exact", variables: bool = True) -> DataFrame:
     """df with columns key, ts (epoch ms), seq (unique in a key) and the annotation columns.
 
     emit: "first" annotates each record once, with the history of the earliest window that holds it; "all" once for
     each window (with win_start, win_end). keep_window adds the window of "first". Several constraints multiply.
+    variables=False leaves ann_vars null in blocks mode, where only degrees are then made; the other modes' plans drop
+    unread variables by themselves.
     """
     constraints = [constraints] if isinstance(constraints, Constraint | Domain) else list(constraints)
     slide = slide or size
@@ -114,7 +118,7 @@ def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constrai
         raise ValueError("no constraint given")
     if len({c.name for c in constraints}) < len(constraints):
         raise ValueError("constraints need different names")
-    if emit not in ("first", "all") or mode not in ("exact", "paths"):
+    if emit not in ("first", "all") or mode not in ("exact", "blocks", "paths"):
         raise ValueError(f"unknown emit {emit!r} or mode {mode!r}")
     if size <= 0 or not 0 < slide <= size:
         raise ValueError("size must be positive and slide between 1 and size")
@@ -122,20 +126,26 @@ def annotate(df: DataFrame, constraints: Constraint | Domain | Sequence[Constrai
     window = F.explode(annotation_windows(F.col("ts"), size, slide)) if emit == "all" else first_window(F.col("ts"), size, slide)
     out = df.withColumn("_win", window).withColumn("win_start", F.col("_win.start")).withColumn("win_end", F.col("_win.end")).drop("_win")
     if not paired:
-        out = out.withColumns({"_found": algebra.one(), "_degree": F.lit(0)})
+        out = out.withColumns({"_found": algebra.one(), "_degree": F.lit(0).cast("bigint")})
+    elif mode == "blocks":
+        found = blocks.violations(df, paired, size, slide, emit, variables)
+        # Spark takes maps for a few bytes and would broadcast them, however long they are
+        found = found.hint("merge") if variables else found
+        out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], "_found", "_degree")
     elif mode == "paths":
         found = _by_paths(df, paired, size, slide, emit).withColumn("_degree", algebra.degree(F.col("found")))
         out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], F.col("found").alias("_found"), "_degree")
     else:
         pairs = reduce(DataFrame.unionByName, [_pairs(df, c, size, slide, emit) for c in paired])
         # the degree has a sum of its own: where no variables are asked for, no list is collected
-        found = pairs.groupBy("key", "seq", "win_start").agg(F.sum("exponent").cast("int").alias("_degree"), F.collect_list(F.struct("var", "exponent")).alias("entries"))
+        found = pairs.groupBy("key", "seq", "win_start").agg(F.sum("exponent").alias("_degree"), F.collect_list(F.struct("var", "exponent")).alias("entries"))
         found = found.select("key", "seq", "win_start", "_degree", _merged(F.col("entries")).alias("_found"))
         out = out.join(found, ["key", "seq", "win_start"], "left").select(out["*"], "_found", "_degree")
     domains = [c for c in constraints if isinstance(c, Domain)]
-    marks = [F.when(c.column(), F.map_from_arrays(F.array(F.concat(F.lit(c.name + "_"), F.col("ts").cast("string"))), F.array(F.lit(1)))).otherwise(algebra.one()) for c in domains]
-    degree = reduce(lambda a, b: a + b, [F.coalesce(F.col("_degree"), F.lit(0)), *[c.column().cast("int") for c in domains]])
-    out = out.withColumn("ann_vars", algebra.times(F.col("_found"), *marks)).withColumn("ann_degree", degree)
+    marks = [F.when(c.column(), F.map_from_arrays(F.array(F.concat(F.lit(c.name + "_"), F.col("ts").cast("string"))), F.array(F.lit(1).cast("bigint")))).otherwise(algebra.one()) for c in domains]
+    degree = reduce(lambda a, b: a + b, [F.coalesce(F.col("_degree"), F.lit(0).cast("bigint")), *[c.column().cast("int") for c in domains]])
+    unread = mode == "blocks" and not variables
+    out = out.withColumn("ann_vars", F.lit(None).cast(algebra.VARS_TYPE) if unread else algebra.times(F.col("_found"), *marks)).withColumn("ann_degree", degree)
     out = out.withColumns({"ann_degree_sum": F.col("ann_degree"), "ann_n_incons": (F.col("ann_degree") > 0).cast("int")}).drop("_found", "_degree")
     return out if emit == "all" or keep_window else out.drop("win_start", "win_end")
 
@@ -161,7 +171,7 @@ def _by_paths(df: DataFrame, constraints: list[Constraint], size: int, slide: in
             yield pd.DataFrame(out, columns=["key", "seq", "win_start", "found"])
 
     grouped = every.repartition("key", "win_start", "win_end").sortWithinPartitions("key", "win_start", "win_end", "ts", "seq")
-    return grouped.mapInPandas(walk, f"key {key_type}, seq {seq_type}, win_start bigint, found map<string,int>")
+    return grouped.mapInPandas(walk, f"key {key_type}, seq {seq_type}, win_start bigint, found map<string,bigint>")
 
 
 def annotate_some(df: DataFrame, constraints, size: int, slide: int | None = None, percent: int = 100, chosen: Column | None = None, **how) -> DataFrame:
@@ -173,7 +183,7 @@ def annotate_some(df: DataFrame, constraints, size: int, slide: int | None = Non
 
 def consistent_only(df: DataFrame, constraints, size: int, slide: int | None = None, **how) -> DataFrame:
     """Records that contradict no earlier one, without annotation. Rejected records still count as origins."""
-    return annotate(df, constraints, size, slide, **how).where("ann_degree <= 0").drop(*ANN)
+    return annotate(df, constraints, size, slide, **{"variables": False, **how}).where("ann_degree <= 0").drop(*ANN)
 
 
 def annotate_values(df: DataFrame, constraints, size: int, slide: int | None = None, key: object = "all", **how) -> DataFrame:
@@ -186,7 +196,7 @@ def annotate_by_self_join(df: DataFrame, constraint: Constraint, size: int) -> D
     product of the pairs' annotations."""
     pairs = df.alias("r").join(df.alias("o"), (F.col("o.key") == F.col("r.key")) & (F.floor(F.col("o.ts") / (size + 1)).between(F.floor(F.col("r.ts") / (size + 1)) - 1, F.floor(F.col("r.ts") / (size + 1)))) & F.col("o.ts").between(F.col("r.ts") - size, F.col("r.ts")) & ((F.col("o.ts") < F.col("r.ts")) | (F.col("o.seq") <= F.col("r.seq"))))
     distance = constraint.distance(_fields("o"), _fields("r"))
-    entry = F.when(distance != 0, F.struct(F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string")).alias("var"), F.ceil(F.abs(distance)).cast("int").alias("exponent")))
+    entry = F.when(distance != 0, F.struct(F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string")).alias("var"), F.ceil(F.abs(distance)).alias("exponent")))
     grouped = pairs.groupBy("r.key", "r.seq").agg(F.collect_list(entry).alias("entries"))
     return with_annotation(df.join(grouped.select("key", "seq", _merged(F.col("entries")).alias("_found")), ["key", "seq"], "left"), F.col("_found")).drop("_found")
 

@@ -1,4 +1,4 @@
-"""Constraints between a record and an earlier one (its origin), as column expressions and as Python functions.
+"""Constraints between a record and an earlier one (its origin), as column expressions, Python functions and matrices.
 
 A distance of zero means that both are consistent; otherwise the record violates the constraint against that origin,
 under the variable `<name>_<origin's ts>` with the exponent ceil(abs(distance)).
@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +31,40 @@ class Constraint:
         """The same for mappings from column to Python value."""
         raise NotImplementedError
 
+    def distances(self, origins: dict[str, np.ndarray], records: dict[str, np.ndarray]) -> np.ndarray:
+        """The same for arrays that broadcast against each other (ts and columns(), as doubles); a new array."""
+        both = {c: np.broadcast_arrays(origins[c], records[c]) for c in origins}
+        shape = both["ts"][0].shape
+        flat = [self.value({c: o.flat[k] for c, (o, _) in both.items()}, {c: r.flat[k] for c, (_, r) in both.items()}) for k in range(int(np.prod(shape)))]
+        return np.array(flat, dtype=np.float64).reshape(shape)
+
+    def lines(self, rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each axis of a speed constraint, values less the fastest and the slowest allowed change since time 0. A
+        pair is consistent if on each axis the record has no more of the first and no less of the second than the
+        origin. Empty: nothing is known without comparing."""
+        return []
+
     def equal_columns(self) -> list[str]:
-        """Columns in which violating pairs agree; joins use them as keys."""
+        """Columns in which violating pairs agree (all that do violate); joins use them as keys."""
         return []
 
 
+def _band_matrix(low: float, high: float, o: np.ndarray, r: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    above = r - (o + high * dt)
+    if low == float("-inf"):
+        return np.maximum(above, 0.0, out=above)
+    below = r - (o + low * dt)
+    if low > high:
+        return np.where(above > 0, above, np.minimum(below, 0.0))
+    np.maximum(above, 0.0, out=above)
+    np.minimum(below, 0.0, out=below)
+    return np.add(above, below, out=above)
+
+
+def _line(values: np.ndarray, ts: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    return values - ts * high, np.full(len(values), np.inf) if low == float("-inf") else values - ts * low
+
+
 def _band(low: float, high: float, o, r, dt):
     return F.when(o + F.lit(high) * dt < r, r - (o + F.lit(high) * dt)).when(o + F.lit(low) * dt > r, r - (o + F.lit(low) * dt)).otherwise(F.lit(0.0))
 
@@ -76,6 +106,13 @@ class SpeedConstraint(Constraint):
             return r - (o + high * dt) if o + high * dt < r else 0.0
         return _band_value(low, high, o, r, dt)
 
+    def distances(self, origins: dict[str, np.ndarray], records: dict[str, np.ndarray]) -> np.ndarray:
+        return _band_matrix(*self.bounds(), origins[self.column], records[self.column], records["ts"] - origins["ts"])
+
+    def lines(self, rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        low, high = self.bounds()
+        return [_line(rows[self.column], rows["ts"], low, high)] if low <= high else []
+
 
 @dataclass(frozen=True)
 class PlaneSpeedConstraint(Constraint):
@@ -99,6 +136,15 @@ class PlaneSpeedConstraint(Constraint):
         dt, low, high = record["ts"] - origin["ts"], self.low / self.strictness, self.high / self.strictness
         return sum(_band_value(low, high, origin[c], record[c], dt) for c in (self.x, self.y))
 
+    def distances(self, origins: dict[str, np.ndarray], records: dict[str, np.ndarray]) -> np.ndarray:
+        dt, low, high = records["ts"] - origins["ts"], self.low / self.strictness, self.high / self.strictness
+        out = _band_matrix(low, high, origins[self.x], records[self.x], dt)
+        return np.add(out, _band_matrix(low, high, origins[self.y], records[self.y], dt), out=out)
+
+    def lines(self, rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        low, high = self.low / self.strictness, self.high / self.strictness
+        return [_line(rows[c], rows["ts"], low, high) for c in (self.x, self.y)] if low <= high else []
+
 
 @dataclass(frozen=True)
 class PrimaryKey(Constraint):

@@ -10,22 +10,29 @@ def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
 
+def _earliest(ts: Column, size: int, slide: int) -> tuple[Column, Column]:
+    """Start and end of the earliest window of the annotation grid that holds ts, if ts isn't negative."""
+    end = ts + F.pmod(-ts, F.lit(slide))
+    at_end = F.greatest(end, F.lit(size)) == ts
+    shift = F.when(at_end, F.lit(slide)).otherwise(F.lit(0))
+    return (F.greatest(end - size, F.lit(0)) + shift).cast("bigint"), (F.greatest(end, F.lit(size)) + shift).cast("bigint")
+
+
 def annotation_windows(ts: Column, size: int, slide: int) -> Column:
     """Array of structs (start, end), earliest first, of the annotation grid's windows that hold ts.
 
     The grid is aligned on window ends; starts are never below 0, and then ends are at least `size`. So, if slide
     doesn't divide size, early records live on another grid than later ones.
     """
-    end = (ts + F.lit(slide - 1) - F.pmod(ts + F.lit(slide - 1), F.lit(slide))).cast("bigint")
-    start, end = F.greatest(end - size, F.lit(0)), F.greatest(end, F.lit(size))
-    shift = F.when(end <= ts, (_div(ts - end, slide) + 1) * slide).otherwise(F.lit(0)).cast("bigint")
-    start, end = start + shift, end + shift
+    start, end = _earliest(ts, size, slide)
     steps = F.when(start <= ts, F.sequence(F.lit(0).cast("bigint"), _div(ts - start, slide))).otherwise(F.array().cast("array<bigint>"))
     return F.transform(steps, lambda k: F.struct((start + k * slide).alias("start"), (end + k * slide).alias("end")))
 
 
 def first_window(ts: Column, size: int, slide: int) -> Column:
-    return F.try_element_at(annotation_windows(ts, size, slide), F.lit(1))
+    """The first of annotation_windows(), or null."""
+    start, end = _earliest(ts, size, slide)
+    return F.when(ts >= 0, F.struct(start.alias("start"), end.alias("end")))
 
 
 def hopping_starts(ts: Column, size: int, slide: int) -> Column:

@@ -18,8 +18,12 @@ def pairs_at_same_time(frame: AnnotatedFrame, name: str) -> AnnotatedFrame:
     return same.join(same, 0, on=F.col(f"l.{name}") != F.col(f"r.{name}"), exact_ts=True)
 
 
-def stock_combo(df: DataFrame, constraints, size: int, slide: int, name: str = "name") -> AnnotatedFrame:
-    return pairs_at_same_time(AnnotatedFrame.annotated(df, constraints, size, slide) if constraints else AnnotatedFrame.plain(df), name)
+def _annotated(df: DataFrame, constraints, size: int, slide: int, **how) -> AnnotatedFrame:
+    return AnnotatedFrame.annotated(df, constraints, size, slide, **how) if constraints else AnnotatedFrame.plain(df)
+
+
+def stock_combo(df: DataFrame, constraints, size: int, slide: int, name: str = "name", **how) -> AnnotatedFrame:
+    return pairs_at_same_time(_annotated(df, constraints, size, slide, **how), name)
 
 
 def stock_pearson(df: DataFrame, constraints, size: int, slide: int, query_size: int, query_slide: int, k: int = 3, name: str = "name", value: str = "value") -> DataFrame:
@@ -30,16 +34,14 @@ def stock_pearson(df: DataFrame, constraints, size: int, slide: int, query_size:
     return flat.group_and_window("key", size=query_size, slide=query_slide).agg(*pearson("_x", "_y")).top(k)
 
 
-def ranked(df: DataFrame, constraints, size: int, slide: int, k: int = 3, descending: bool = True) -> DataFrame:
+def ranked(df: DataFrame, constraints, size: int, slide: int, k: int = 3, descending: bool = True, **how) -> DataFrame:
     """The k most inconsistent records of each first window (GPS and review queries)."""
-    frame = AnnotatedFrame.annotated(df, constraints, size, slide) if constraints else AnnotatedFrame.plain(df)
-    return frame.top_first_window(k, size, slide, descending=descending, ties=("ts", "seq"))
+    return _annotated(df, constraints, size, slide, **how).top_first_window(k, size, slide, descending=descending, ties=("ts", "seq"))
 
 
-def co_travel(df: DataFrame, constraints, size: int, slide: int, segment: str, same: str, back: int, least: int | None = None) -> AnnotatedFrame:
+def co_travel(df: DataFrame, constraints, size: int, slide: int, segment: str, same: str, back: int, least: int | None = None, **how) -> AnnotatedFrame:
     """Pairs on one segment, equal in `same`, of which the right one is up to `back` older (each row meets itself)."""
-    frame = AnnotatedFrame.annotated(df, constraints, size, slide) if constraints else AnnotatedFrame.plain(df)
-    keyed = frame.with_key(segment)
+    keyed = _annotated(df, constraints, size, slide, **how).with_key(segment)
     pairs = keyed.join(keyed, back, on=F.col(f"l.{same}") == F.col(f"r.{same}"))
     return pairs if least is None else pairs.where_annotation(F.col("ann_degree_sum") > least)
 
@@ -64,12 +66,12 @@ def grid_cost(df: DataFrame, variant: str, low: float = -2.0, high: float = 2.0,
     return sums.df.select("win_start", "ts", (F.lit(1.2) * F.col("a") + F.lit(1.5) * F.col("b")).alias("value"))
 
 
-def window_sums(df: DataFrame, constraints, size: int, slide: int, query_size: int, query_slide: int, *columns: str) -> DataFrame:
+def window_sums(df: DataFrame, constraints, size: int, slide: int, query_size: int, query_slide: int, *columns: str, **how) -> DataFrame:
     """Sums of columns in hopping windows with the annotation's aggregates; without constraints, un-annotated."""
     sums = [F.sum(c).alias(f"sum_{c}") for c in columns]
     if not constraints:
         return hop(df, query_size, query_slide).groupBy("key", "win_start").agg(*sums, F.max("ts").alias("ts"))
-    out = AnnotatedFrame.annotated(df, constraints, size, slide).group_and_window("key", size=query_size, slide=query_slide).agg(*sums)
+    out = AnnotatedFrame.annotated(df, constraints, size, slide, **how).group_and_window("key", size=query_size, slide=query_slide).agg(*sums)
     return out.df.drop("ann_vars")
 
 
@@ -94,8 +96,8 @@ def qualitative(df: DataFrame, constraints, size: int, slide: int, variant: str,
     return out.withColumns({c: from_annotation(F.col(c), p, how) for c, p in repairs.items()})
 
 
-def validated(df: DataFrame, constraints, size: int, slide: int) -> DataFrame:
-    return consistent_only(df, constraints, size, slide)
+def validated(df: DataFrame, constraints, size: int, slide: int, **how) -> DataFrame:
+    return consistent_only(df, constraints, size, slide, **how)
 
 
 def repaired(df: DataFrame, column: str, size: int, slide: int, strictness: float) -> DataFrame:

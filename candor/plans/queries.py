@@ -72,6 +72,9 @@ _ALL = f"WITH {EV}, {_every(SIZE, SLIDE)}, {_annotated([_pairs(_band(), 'SC', 'w
 _DOUBLE = f"WITH {EV}, {_first(SIZE, SLIDE)}, {_annotated([_pairs(_band(low=-2e-6, high=2e-6), 'SCA'), _pairs(_band(low=-5e-7, high=5e-7), 'SCB')])} "
 _OUT = "seq, ann_degree, ann_degree_sum, ann_n_incons, ann_text"
 
+#: Degrees alone, for histories of which most pairs violate.
+DEGREES = {"mode": "blocks", "variables": False}
+
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -419,7 +422,7 @@ _COMBO = ", c AS (SELECT l.seq AS left_seq, r.seq AS right_seq, l.event_type AS
 
 @query(_TICK_ANN + _COMBO + "SELECT left_seq, right_seq, ts, ann_degree_sum FROM c")
 def q1_stock_combo(spark, sf_dir):
-    out = Q.stock_combo(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR).df
+    out = Q.stock_combo(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **DEGREES).df
     return out.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"), "ts", F.col("ann_degree_sum").cast("bigint").alias("ann_degree_sum"))
 
 
@@ -448,7 +451,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 @query(f"WITH {_XYP}, {_first(2 * HOUR, HOUR)}, {_annotated([_pairs(f'({_band()} + {_band('y')})', 'SC')])}, {_TOP.format(size=2 * HOUR, slide=HOUR)}")
 def q3_gps_top_k(spark, sf_dir):
     df = events(spark, sf_dir).withColumns({"y": (F.col("seq") % 97).cast("double"), "key": F.lit("key")})
-    return _ranked(Q.ranked(df, PlaneSpeedConstraint("v", "y", LOW, HIGH), 2 * HOUR, HOUR))
+    return _ranked(Q.ranked(df, PlaneSpeedConstraint("v", "y", LOW, HIGH), 2 * HOUR, HOUR, **DEGREES))
 
 
 _TITLES = EV.replace("user_id AS key", "event_type AS key")
@@ -520,7 +523,7 @@ def q10_annotation_only(spark, sf_dir):
 
 @query(_SC + "SELECT event_type, count(*) AS n FROM ann WHERE ann_degree <= 0 GROUP BY event_type")
 def q11_validation(spark, sf_dir):
-    return Q.validated(events(spark, sf_dir), SC, SIZE, SLIDE).groupBy("event_type").agg(F.count("*").alias("n"))
+    return Q.validated(events(spark, sf_dir), SC, SIZE, SLIDE, mode="blocks").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query(None)

@@ -30,7 +30,7 @@ def annotate_stream(df: DataFrame, constraints: Constraint | Sequence[Constraint
     """df(key, ts, seq, event_time with watermark, ...) -> the same rows, annotated with the earliest window's history."""
     constraints = [constraints] if isinstance(constraints, Constraint) else list(constraints)
     slide = slide or size
-    schema = T.StructType([*df.schema.fields, T.StructField("_found", T.MapType(T.StringType(), T.IntegerType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField("_found", T.MapType(T.StringType(), T.LongType()))])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
