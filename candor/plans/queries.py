@@ -460,7 +460,7 @@ _UK = "(CASE WHEN o.user_id = r.user_id THEN -1 ELSE 0 END)"
 
 @query(f"WITH {_TITLES}, {_first(12 * HOUR, 6 * HOUR)}, {_annotated([_pairs(_band(), 'SC'), _pairs(_UK, 'PK')])}, {_TOP.format(size=12 * HOUR, slide=6 * HOUR)}")
 def q4_review_top_k(spark, sf_dir):
-    return _ranked(Q.ranked(events(spark, sf_dir, "event_type"), [SC, PrimaryKey(("user_id",))], 12 * HOUR, 6 * HOUR))
+    return _ranked(Q.ranked(events(spark, sf_dir, "event_type"), [SC, PrimaryKey(("user_id",))], 12 * HOUR, 6 * HOUR, **DEGREES))
 
 
 _SEG = EV.replace("event_type FROM", "event_type, event_id % 50 AS segment FROM")
