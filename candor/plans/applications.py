@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candor.functions import algebra
 from candor.operators.annotate import annotate, consistent_only, unannotated
-from candor.operators.frame import AnnotatedFrame, pearson, running
+from candor.operators.frame import AnnotatedFrame, running
 from candor.operators.repair import from_annotation, repair
 from candor.operators.windows import hop
 
@@ -27,11 +27,40 @@ def stock_combo(df: DataFrame, constraints, size: int, slide: int, name: str = "
 
 
 def stock_pearson(df: DataFrame, constraints, size: int, slide: int, query_size: int, query_slide: int, k: int = 3, name: str = "name", value: str = "value") -> DataFrame:
-    """Correlation statistics of each pair in each hopping window, with the k most inconsistent pairs of a window."""
-    pairs = stock_combo(df, constraints, size, slide, name)
-    keyed = pairs.with_key(F.concat_ws("|", f"left.{name}", f"right.{name}"))
-    flat = AnnotatedFrame(keyed.df.withColumns({"_x": F.col(f"left.{value}"), "_y": F.col(f"right.{value}")}))
-    return flat.group_and_window("key", size=query_size, slide=query_slide).agg(*pearson("_x", "_y")).top(k)
+    """Correlation statistics of each pair in each hopping window, with the k most inconsistent pairs of a window.
+
+    Every row of one name meets every row of another at the same ts, so all sums over pairs are products of sums over
+    one side and counts of the other: rows are aggregated by name and ts first, and those aggregates are paired.
+    """
+    rows = _annotated(df, constraints, size, slide, mode="blocks", variables=False).df
+    x, n, one = F.col(value), F.count(F.lit(1)), F.lit(1)
+    sides = rows.groupBy(F.col("ts"), F.col(name).alias("_name")).agg(
+        n.alias("_n"),
+        F.count(F.when(F.col("ann_n_incons") == 0, one)).alias("_clean"),
+        F.sum(x).alias("_x"),
+        F.sum(x * x).alias("_x2"),
+        F.sum("ann_degree_sum").alias("_sum"),
+        F.max("ann_degree").alias("_degree"),
+    )
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    joined = sides.alias("l").join(sides.alias("r"), (l("ts") == r("ts")) & (l("_name") != r("_name")))
+    pairs = joined.select(
+        F.concat_ws("|", l("_name"), r("_name")).alias("key"),
+        l("ts").alias("ts"),
+        (l("_x") * r("_n")).alias("sum_x"),
+        (r("_x") * l("_n")).alias("sum_y"),
+        (l("_x") * r("_x")).alias("sum_xy"),
+        (l("_x2") * r("_n")).alias("sum_x2"),
+        (r("_x2") * l("_n")).alias("sum_y2"),
+        (l("_n") * r("_n")).alias("n_couples"),
+        (l("_degree") + r("_degree")).alias("ann_degree"),
+        (l("_sum") * r("_n") + r("_sum") * l("_n")).alias("ann_degree_sum"),
+        # a pair is inconsistent unless both sides are clean
+        (l("_n") * r("_n") - l("_clean") * r("_clean")).alias("ann_n_incons"),
+        F.lit(None).cast(algebra.VARS_TYPE).alias("ann_vars"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2", "n_couples")]
+    return AnnotatedFrame(pairs).group_and_window("key", size=query_size, slide=query_slide).agg(*sums).top(k)
 
 
 def ranked(df: DataFrame, constraints, size: int, slide: int, k: int = 3, descending: bool = True, **how) -> DataFrame:
