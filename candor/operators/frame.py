@@ -186,9 +186,8 @@ def pearson(x: str, y: str) -> list[Column]:
 
 def correlation() -> Column:
     """The coefficient that pearson()'s columns give."""
-    n = F.col("n_couples")
-    above = n * F.col("sum_xy") - F.col("sum_x") * F.col("sum_y")
-    below = F.sqrt((n * F.col("sum_x2") - F.col("sum_x") ** 2) * (n * F.col("sum_y2") - F.col("sum_y") ** 2))
+    n, x, y, xy, x2, y2 = (F.col(c).cast("double") for c in ("n_couples", "sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2"))
+    above, below = n * xy - x * y, F.sqrt((n * x2 - x * x) * (n * y2 - y * y))
     return F.when(below != 0, above / below)
 
 

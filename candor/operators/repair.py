@@ -14,6 +14,10 @@ from candor.functions.series import numpy_mad
 from candor.operators.windows import first_window
 
 
+#: Series up to this length are repaired together with others of their length.
+ALIKE = 64
+
+
 def _magnitude(poly: Column, prefix: str) -> Column:
     """Largest and smallest exponents of each monomial, then of the polynomial, combined alike both times."""
     combine = lambda high, low: F.when(high > 0, F.when(low < 0, high + low).otherwise(high)).otherwise(low)
@@ -76,6 +80,32 @@ def screen(t: np.ndarray, v: np.ndarray, low: float | None = None, high: float |
     return out
 
 
+def screen_alike(t: np.ndarray, v: np.ndarray, low: float, high: float) -> np.ndarray:
+    """screen() for many series of one length, a row each, without gaps, each led by its whole future."""
+    n, out = v.shape[1], v.copy()
+    for i in range(n):
+        back = t[:, i : i + 1] - t[:, i + 1 :]
+        middle = np.median(np.concatenate([v[:, i : i + 1], v[:, i + 1 :] + low * back, v[:, i + 1 :] + high * back], axis=1), axis=1)
+        if i:
+            dt = t[:, i] - t[:, i - 1]
+            middle = np.minimum(np.maximum(middle, out[:, i - 1] + low * dt), out[:, i - 1] + high * dt)
+        out[:, i] = middle
+    return out if n > 1 else v
+
+
+def screen_groups(t: np.ndarray, v: np.ndarray, first: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    """screen() for each of the series that start at `first`; short ones of one length together."""
+    out, size = np.empty(len(v)), np.diff(np.append(first, len(v)))
+    whole = np.minimum.reduceat(np.isfinite(v), first) if len(first) else np.zeros(0, dtype=bool)
+    together = whole & (size <= ALIKE) if low is not None and high is not None else np.zeros(len(first), dtype=bool)
+    for n in np.unique(size[together]):
+        at = first[together & (size == n)][:, None] + np.arange(n)
+        out[at] = screen_alike(t[at], v[at], low, high)
+    for a, n in zip(first[~together], size[~together], strict=True):
+        out[a : a + n] = screen(t[a : a + n], v[a : a + n], low, high)
+    return out
+
+
 def repair(df: DataFrame, column: str, size: int, slide: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
     """Replaces a column by its repaired values; each record is repaired once, with its key's records of the earliest
     window that holds it. Groups stand one behind the other in a task, which holds one group and a batch at a time."""
@@ -86,7 +116,7 @@ def repair(df: DataFrame, column: str, size: int, slide: int | None = None, low:
     def fixed(rows: pd.DataFrame) -> pd.DataFrame:
         values, ts = pd.to_numeric(rows[column]).to_numpy(dtype=float), rows["ts"].to_numpy(dtype=float)
         first = np.flatnonzero((rows["key"] != rows["key"].shift()) | (rows["_win"] != rows["_win"].shift()))
-        out = np.concatenate([screen(ts[a:b], values[a:b], low, high) for a, b in zip(first, [*first[1:], len(rows)], strict=True)])
+        out = screen_groups(ts, values, first, low, high)
         return rows.assign(**{column: np.trunc(out).astype("int64") if whole else out}).drop(columns="_win")
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

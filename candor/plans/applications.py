@@ -27,12 +27,17 @@ def stock_combo(df: DataFrame, constraints, size: int, slide: int, name: str = "
 
 
 def stock_pearson(df: DataFrame, constraints, size: int, slide: int, query_size: int, query_slide: int, k: int = 3, name: str = "name", value: str = "value") -> DataFrame:
-    """Correlation statistics of each pair in each hopping window, with the k most inconsistent pairs of a window.
+    """Correlation statistics of each pair in each hopping window, with the k most inconsistent pairs of a window."""
+    return pearson_top(_annotated(df, constraints, size, slide, mode="blocks", variables=False), query_size, query_slide, k, name, value)
+
+
+def pearson_top(frame: AnnotatedFrame, query_size: int, query_slide: int, k: int = 3, name: str = "name", value: str = "value") -> DataFrame:
+    """stock_pearson() of an annotated relation.
 
     Every row of one name meets every row of another at the same ts, so all sums over pairs are products of sums over
     one side and counts of the other: rows are aggregated by name and ts first, and those aggregates are paired.
     """
-    rows = _annotated(df, constraints, size, slide, mode="blocks", variables=False).df
+    rows = frame.df
     x, n, one = F.col(value), F.count(F.lit(1)), F.lit(1)
     sides = rows.groupBy(F.col("ts"), F.col(name).alias("_name")).agg(
         n.alias("_n"),

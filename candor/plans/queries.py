@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from candor.functions import algebra, series
 from candor.operators import annotate as A
 from candor.operators.constraints import Domain, PlaneSpeedConstraint, PrimaryKey, SpeedConstraint
-from candor.operators.frame import AnnotatedFrame, pearson
+from candor.operators.frame import AnnotatedFrame, correlation, pearson
 from candor.operators.repair import from_annotation
 from candor.operators.windows import containing_start, hop
 from candor.plans import applications as Q
+from candor.plans.streams import shared_folder
 from candor.sources import generators as G
-from candor.sources.readers import events, millis
+from candor.sources.readers import events, gps, linear_road, millis, reviews, stocks
 
 HOUR = 3_600_000
 SIZE, SLIDE = 48 * HOUR, 12 * HOUR
@@ -118,11 +119,47 @@ def inject_fixed_period(spark, sf_dir):
     return G.inject_every(events(spark, sf_dir), "cents", 1_000_000).select("seq", "cents")
 
 
-@query(None)
+def _draw(n: int, seed: int) -> str:
+    return f"(CAST('0x' || substr(md5(key || '|' || seq || '|{seed}'), 1, 8) AS BIGINT) % {n} + 1)"
+
+
+@query(f"WITH {EV}, h AS (SELECT *, {_draw(100, 7)} <= 10 AS hit, {_draw(50, 8)} AS many FROM ev), r AS (SELECT *, sum(CAST(hit AS INTEGER)) OVER w AS hits, sum(cents) OVER w / count(*) OVER w AS mean FROM h WINDOW w AS (PARTITION BY key ORDER BY ts, seq)) SELECT seq, CASE WHEN hit THEN CAST(trunc(mean * many * CASE WHEN hits % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) ELSE cents END AS cents FROM r")
 def inject_percentage(spark, sf_dir):
     return G.inject_percent(events(spark, sf_dir), "cents", 10).select("seq", "cents")
 
 
+def _through_csv(df: DataFrame, header: bool) -> str:
+    """A folder with the rows as CSV."""
+    folder = shared_folder(df.sparkSession, "csv")
+    df.write.option("header", header).csv(folder)
+    return folder
+
+
+@query("WITH d AS (SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1), p AS (SELECT day, unnest([7, 20]) AS h, a, b FROM d) SELECT 'S' AS name, CAST(CASE WHEN h = 7 THEN a ELSE b END AS DOUBLE) AS value, day * 86400000 + h * 3600000 AS ts FROM p")
+def source_stocks_csv(spark, sf_dir):
+    days = events(spark, sf_dir).groupBy(F.floor(F.col("ts") / 86_400_000).alias("day")).agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
+    rows = days.select(F.date_format(F.timestamp_millis(F.col("day") * 86_400_000), "dd-MM-yyyy").alias("date"), F.lit("").alias("one"), "a", F.lit("").alias("three"), F.lit("").alias("four"), "b")
+    return stocks(spark, _through_csv(rows, True), "S")
+
+
+@query(f"WITH {EV} SELECT v AS x, CAST(seq % 97 AS DOUBLE) AS y, ts FROM ev")
+def source_gps_csv(spark, sf_dir):
+    return gps(spark, _through_csv(events(spark, sf_dir).select("ts", (F.col("seq") % 97).cast("double").alias("y"), F.col("v").alias("x")), True))
+
+
+@query(f"WITH {EV} SELECT user_id, event_type AS title, ts // 86400000 * 86400000 + 25200000 AS ts, CAST(seq % 5 + 1 AS INTEGER) AS value FROM ev")
+def source_reviews_csv(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "event_type", F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("date"), F.col("seq") % 5 + 1)
+    return reviews(spark, _through_csv(rows, False))
+
+
+@query(f"WITH {EV} SELECT ts, CAST(cents % 100 AS INTEGER) AS speed, user_id AS vid, CAST(seq % 3 AS INTEGER) AS x_way, CAST(seq % 50 AS INTEGER) AS segment FROM ev")
+def source_linear_road_csv(spark, sf_dir):
+    none = lambda n: F.lit("0").alias(n)
+    rows = events(spark, sf_dir).select(F.concat(F.lit("["), "user_id").alias("vid"), F.col("cents") % 100, none("c2"), F.col("seq") % 3, none("c4"), none("c5"), F.concat(F.lit("("), F.col("seq") % 50, F.lit(")")).alias("segment"), none("c7"), F.concat(F.lit(" "), "ts", F.lit("]")).alias("ts"))
+    return linear_road(spark, _through_csv(rows, True))
+
+
 @query("WITH g AS (SELECT CAST(i AS BIGINT) AS ts, [80, 80, 80, 80, 50, 30, 20, 20, 40, 60, 80, 80, 80, 60, 40, 20, 20, 40, 60] AS a, CASE WHEN i % 100 = 0 THEN 'shared' ELSE 'u' || i END AS uuid FROM range(1, 1001) t(i)) SELECT ts, CAST(a[(ts - 1) % 19 + 1] AS BIGINT) AS cons_a, uuid FROM g")
 def source_ablation(spark, sf_dir):
     return G.grid_ablation(spark, 1000).select("ts", "cons_a", "uuid")
@@ -279,6 +316,34 @@ def annotate_by_self_join(spark, sf_dir):
     return _shown(A.annotate_by_self_join(events(spark, sf_dir), SC, 6 * HOUR))
 
 
+@query(f"WITH {EV}, {_first(SIZE, SLIDE)}, {_annotated([_pairs(_PK, 'PK')])} SELECT {_OUT} FROM ann")
+def annotate_key_chain(spark, sf_dir):
+    return _shown(_frame(spark, sf_dir, PK, mode="paths").df)
+
+
+@query(_SC + f"SELECT seq, CAST(count_if(ann_degree > 0) AS INTEGER) AS inconsistent, CAST(max(CASE WHEN g.n IS NULL THEN 0 ELSE g.n END) AS INTEGER) AS n_origins FROM ann LEFT JOIN (SELECT key, seq, count(*) AS n FROM qann GROUP BY ALL) g USING (key, seq) GROUP BY seq")
+def annotate_paths_origins(spark, sf_dir):
+    """Paths meet the origins that pairs meet; only how often may differ."""
+    return _frame(spark, sf_dir, mode="paths").df.select("seq", F.col("ann_n_incons").alias("inconsistent"), algebra.cardinality(F.col("ann_vars")).alias("n_origins"))
+
+
+@query(f"WITH {_XY}, {_first(SIZE, SLIDE)}, {_annotated([_pairs(_band('y'), 'SC')])} SELECT {_OUT} FROM ann")
+def annotate_pair_values(spark, sf_dir):
+    """A constraint on one value of a pair."""
+    df = events(spark, sf_dir).withColumn("pair", F.struct("v", (F.col("seq") % 97).cast("double").alias("second")))
+    return _shown(A.annotate(df, SpeedConstraint("pair.second", LOW, HIGH), SIZE, SLIDE, mode="blocks"))
+
+
+@query(_SC + f", k AS (SELECT q.key, q.seq, CAST(sum(q.e) AS BIGINT) AS d FROM qann q JOIN w USING (key, seq) WHERE CAST(split_part(q.var, '_', 2) AS BIGINT) >= w.ws + {24 * HOUR} AND CAST(split_part(q.var, '_', 2) AS BIGINT) < w.we GROUP BY ALL) SELECT event_type, CAST(sum(coalesce(d, 0)) AS BIGINT) AS slid, CAST(sum(ann_degree) AS BIGINT) AS total FROM ann LEFT JOIN k USING (key, seq) GROUP BY event_type")
+def reduce_and_slide(spark, sf_dir):
+    """Annotations of a window cut to the part that a later window shares with it, then summed."""
+    frame = _frame(spark, sf_dir, keep_window=True)
+    kept = frame.transform_annotation(algebra.slide(F.col("ann_vars"), F.col("win_start") + 24 * HOUR, F.col("win_end")))
+    slid = kept.df.select("event_type", F.col("ann_degree").alias("slid"), F.lit(0).cast("bigint").alias("total"))
+    both = slid.unionByName(frame.df.select("event_type", F.lit(0).cast("bigint").alias("slid"), F.col("ann_degree").alias("total")))
+    return both.groupBy("event_type").agg(F.sum("slid").alias("slid"), F.sum("total").alias("total"))
+
+
 @query(None)
 def annotate_paths(spark, sf_dir):
     return _shown(_frame(spark, sf_dir, [SC, PK], mode="paths").df)
@@ -483,12 +548,29 @@ def q6_grid_pure(spark, sf_dir):
     return Q.grid_cost(G.grid(spark), "pure")
 
 
+def _grid_annotated(a: list[int], b: list[int], variant: str) -> str:
+    rows = ", ".join(f"(1, {t}, {t}, {x}, {y})" for t, (x, y) in enumerate(zip(a, b, strict=True), 1))
+    on = "o.ws = r.ws AND o.we = r.we"
+    pairs = [_pairs(_band(c, -2.0, 2.0), n, "w", "wa", on) for c, n in (("cons_a", "SCA"), ("cons_b", "SCB"))]
+    base = f"WITH ev(key, seq, ts, cons_a, cons_b) AS (VALUES {rows}), {_first(5, 2)}, {_every(5, 2)}, {_annotated(pairs)}"
+    largest = lambda c: f"coalesce((SELECT max(e) FROM {'x' if variant == 'simplified' else 'qann'} q WHERE q.seq = ann.seq AND starts_with(q.var, '{c}_')), 0)"
+    if variant == "simplified":
+        halves = "hv AS (SELECT seq, split_part(var, '_', 1) AS c, split_part(var, '_', 2) AS ots, e FROM qann), x AS (SELECT a.seq, a.c || '_' || a.ots AS var, a.e - coalesce(b.e, 0) AS e FROM hv a LEFT JOIN hv b ON a.seq = b.seq AND a.ots = b.ots AND a.c <> b.c WHERE a.e > coalesce(b.e, 0))"
+        base += f", {halves}"
+    if variant == "consistent":
+        base += ", f AS (SELECT ts, cons_a AS a, cons_b AS b FROM ann WHERE ann_degree = 0)"
+    else:
+        fixed = lambda c, n: f"CASE WHEN {largest(n)} > {c} THEN CAST(trunc({c} + {largest(n)} / 2.0) AS BIGINT) ELSE CAST({c} + {largest(n)} AS BIGINT) END"
+        base += f", f AS (SELECT ts, {fixed('cons_a', 'SCA')} AS a, {fixed('cons_b', 'SCB')} AS b FROM ann)"
+    return base + f", {_hops('f', 5, 2)} SELECT CAST(win_start AS BIGINT) AS win_start, CAST(max(ts) AS BIGINT) AS ts, CAST('1.2' AS DOUBLE) * sum(a) + CAST('1.5' AS DOUBLE) * sum(b) AS value FROM h GROUP BY win_start"
+
+
 def q6(variant: str, spark, sf_dir):
     return Q.grid_cost(G.grid(spark), variant)
 
 
 for _v in ("consistent", "repaired", "simplified"):
-    FOUND[f"q6_grid_{_v}"] = (partial(q6, _v), None)
+    FOUND[f"q6_grid_{_v}"] = (partial(q6, _v), _grid_annotated(G.GRID_A, G.GRID_B, _v))
 
 
 def _q7(names: tuple[str, ...], spark, sf_dir):
@@ -516,6 +598,41 @@ def q9_gps_qualitative(spark, sf_dir):
     return Q.running_max(kept, "cents").select("seq", "max_cents")
 
 
+def _subtracted(prefix: str, rel: str) -> str:
+    """SQL of cents corrected by the largest exponent of a prefix."""
+    m = f"m AS (SELECT key, seq, max(CASE WHEN starts_with(var, '{prefix}_') THEN e END) AS m FROM {rel} GROUP BY ALL), f AS (SELECT ann.*, CASE WHEN coalesce(m, 0) > cents THEN cents - coalesce(m, 0) / 2.0 ELSE CAST(cents - coalesce(m, 0) AS DOUBLE) END AS fixed FROM ann LEFT JOIN m USING (key, seq))"
+    return m
+
+
+_SHORT = _HALVES.rstrip() + ", x AS (SELECT key, seq, c || '_' || ots AS var, e FROM s WHERE e > 0), "
+_RUN = "SELECT seq, sum(fixed) OVER (PARTITION BY key ORDER BY ts, seq) AS running_sum FROM f"
+
+
+def _q8(variant: str, spark, sf_dir):
+    kept = Q.qualitative(events(spark, sf_dir), [SCA, SCB], SIZE, SLIDE, variant, {"cents": "SCB"})
+    return Q.running_sum(kept.withColumn("cents", F.col("cents").cast("double")), "cents").select("seq", "running_sum")
+
+
+FOUND["q8_stock_pure"] = (partial(_q8, "pure"), f"WITH {EV} SELECT seq, CAST(sum(cents) OVER (PARTITION BY key ORDER BY ts, seq) AS DOUBLE) AS running_sum FROM ev")
+FOUND["q8_stock_repaired"] = (partial(_q8, "repaired"), _DOUBLE + ", " + _subtracted("SCB", "qann") + _RUN)
+FOUND["q8_stock_simplified"] = (partial(_q8, "simplified"), _SHORT + _subtracted("SCB", "x") + _RUN)
+
+_AXES = [SpeedConstraint("v", LOW, HIGH, "SCX"), SpeedConstraint("y", LOW, HIGH, "SCY")]
+
+
+def _q9(variant: str, spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("y", (F.col("seq") % 97).cast("double"))
+    kept = Q.qualitative(df, _AXES, SIZE, SLIDE, variant, {"cents": "SCX"})
+    return Q.running_max(kept.withColumn("cents", F.col("cents").cast("double")), "cents").select("seq", "max_cents")
+
+
+_PEAK = "SELECT seq, max(fixed) OVER (PARTITION BY key ORDER BY ts, seq) AS max_cents FROM f"
+_PLANE = f"WITH {_XY}, {_first(SIZE, SLIDE)}, {_annotated([_pairs(_band(), 'SCX'), _pairs(_band('y'), 'SCY')])}"
+FOUND["q9_gps_pure"] = (partial(_q9, "pure"), f"WITH {EV} SELECT seq, CAST(max(cents) OVER (PARTITION BY key ORDER BY ts, seq) AS DOUBLE) AS max_cents FROM ev")
+FOUND["q9_gps_repaired"] = (partial(_q9, "repaired"), _PLANE + ", " + _subtracted("SCX", "qann") + _PEAK)
+FOUND["q9_gps_simplified"] = (partial(_q9, "simplified"), _PLANE + _SHORT[len(_DOUBLE) :] + _subtracted("SCX", "x") + _PEAK)
+
+
 @query(_SC + "SELECT count(*) AS n_events, CAST(sum(ann_degree_sum) AS BIGINT) AS degree_sum FROM ann")
 def q10_annotation_only(spark, sf_dir):
     return _frame(spark, sf_dir).df.agg(F.count("*").alias("n_events"), F.sum("ann_degree_sum").cast("bigint").alias("degree_sum"))
@@ -526,7 +643,19 @@ def q11_validation(spark, sf_dir):
     return Q.validated(events(spark, sf_dir), SC, SIZE, SLIDE, mode="blocks").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(None)
+_E6 = "CAST('1e-06' AS DOUBLE)"
+#: The median of what a row's future allows, then a walk along each group that clamps it by the repaired row before.
+_SCREEN = (
+    f"WITH RECURSIVE {EV}, {_first(SIZE, SLIDE)}, n AS (SELECT *, row_number() OVER (PARTITION BY key, ws ORDER BY ts, seq) AS i FROM w), "
+    f"c AS (SELECT key, ws, i, v AS x FROM n UNION ALL SELECT r.key, r.ws, r.i, unnest([o.v + -{_E6} * (r.ts - o.ts), o.v + {_E6} * (r.ts - o.ts)]) FROM n r JOIN n o ON o.key = r.key AND o.ws = r.ws AND o.i > r.i), "
+    "m AS (SELECT key, ws, i, median(x) AS x FROM c GROUP BY ALL), b AS (SELECT n.key, n.ws, n.i, seq, ts, n.v, m.x, count(*) OVER (PARTITION BY n.key, n.ws) AS size FROM n JOIN m USING (key, ws, i)), "
+    "walk AS (SELECT key, ws, i, seq, ts, CASE WHEN size = 1 THEN v ELSE x END AS v FROM b WHERE i = 1 UNION ALL "
+    f"SELECT b.key, b.ws, b.i, b.seq, b.ts, least(greatest(b.x, walk.v + -{_E6} * (b.ts - walk.ts)), walk.v + {_E6} * (b.ts - walk.ts)) FROM walk JOIN b ON b.key = walk.key AND b.ws = walk.ws AND b.i = walk.i + 1) "
+    "SELECT key, seq, ts, v FROM walk"
+)
+
+
+@query(_SCREEN)
 def q12_repair(spark, sf_dir):
     return Q.repaired(events(spark, sf_dir), "v", SIZE, SLIDE, 1e-6).select("key", "seq", "ts", "v")
 
@@ -542,6 +671,35 @@ def q14_partial_constraints(spark, sf_dir):
     return _ranked(frame.top_first_window(3, 24 * HOUR, 12 * HOUR, ties=("ts", "seq")))
 
 
+def _chosen_ann(rel: str, size: int, slide: int) -> str:
+    """SQL of annotate_some() on half of a relation."""
+    return f"chosen AS (SELECT * FROM {rel} WHERE seq % 10 < 5), {_first(size, slide, 'chosen')}, {_annotated([_pairs(_band(), 'SC', origins='chosen')], out='chosen_ann')}, ann AS (SELECT key, seq, ts, cents, user_id, event_type, ann_degree_sum, ann_n_incons FROM chosen_ann UNION ALL SELECT key, seq, ts, cents, user_id, event_type, 0, 0 FROM {rel} WHERE seq % 10 >= 5)"
+
+
+_HALF = {"chosen": F.col("seq") % 10 < 5, "mode": "blocks", "variables": False}
+
+
+@query(f"WITH {_TICKS}, {_chosen_ann('ev', 2 * HOUR, HOUR)}" + _COMBO + "SELECT left_seq, right_seq, ts, ann_degree_sum FROM c")
+def q14_partial_stock_combo(spark, sf_dir):
+    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_HALF))
+    return Q.pairs_at_same_time(some, "name").df.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"), "ts", "ann_degree_sum")
+
+
+@query(f"WITH {_TICKS}, {_chosen_ann('ev', 2 * HOUR, HOUR)}" + _COMBO + f", {_hops('c', 24 * HOUR, 6 * HOUR)}, g AS (SELECT n1 || '|' || n2 AS key, win_start, {_SUMS}, CAST(sum(ann_degree_sum) AS BIGINT) AS ann_degree_sum FROM h GROUP BY ALL), t AS (SELECT *, {_DESC} AS rank FROM g) SELECT key, win_start, rank, n_couples, ann_degree_sum, round((CAST(n_couples AS DOUBLE) * sum_xy - CAST(sum_x AS DOUBLE) * sum_y) / sqrt((CAST(n_couples AS DOUBLE) * sum_x2 - CAST(sum_x AS DOUBLE) * sum_x) * (CAST(n_couples AS DOUBLE) * sum_y2 - CAST(sum_y AS DOUBLE) * sum_y)), 6) AS correlation FROM t WHERE rank <= 3")
+def q14_partial_stock_pearson(spark, sf_dir):
+    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_HALF))
+    out = Q.pearson_top(some, 24 * HOUR, 6 * HOUR, value="cents").withColumn("correlation", F.round(correlation(), 6))
+    return out.select("key", "win_start", "rank", "n_couples", "ann_degree_sum", "correlation")
+
+
+@query(f"WITH {EV}, {_chosen_ann('ev', SIZE, SLIDE)} SELECT l.seq AS left_seq, r.seq AS right_seq, l.ann_degree_sum + r.ann_degree_sum AS ann_degree_sum FROM ann l JOIN ann r ON l.seq % 50 = r.seq % 50 AND l.event_type = r.event_type AND r.ts BETWEEN l.ts - {12 * HOUR} AND l.ts WHERE l.ann_degree_sum + r.ann_degree_sum > 1")
+def q14_partial_linear_road(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("segment", F.col("seq") % 50)
+    some = AnnotatedFrame(A.annotate_some(df, SC, SIZE, SLIDE, **_HALF)).with_key("segment")
+    pairs = some.join(some, 12 * HOUR, on=F.col("l.event_type") == F.col("r.event_type")).where_annotation(F.col("ann_degree_sum") > 1).df
+    return pairs.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"), "ann_degree_sum")
+
+
 # joins and top-k over the order tables
 
 _LI = "li AS (SELECT l_orderkey * 8 + l_linenumber AS seq, l_suppkey AS key, epoch_us(l_shipdate) // 1000 AS ts, l_quantity AS v, CAST(l_quantity AS BIGINT) AS cents, l_orderkey, l_returnflag FROM lineitem)"

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Series of the grid, GPS and stock examples, by position.
-GRID_A = [80] * 4 + [50, 20, 0, 20, 40, 60] + [80] * 3 + [50, 30, 0, 20, 40, 60] + [80] * 4
-GRID_B = [20] * 13 + [50, 70, 100, 80, 60, 40] + [20] * 4
+GRID_A = [80, 80, 80, 80, 50, 20, 0, 20, 40, 60, 80, 80, 80, 50, 30, 0, 20, 40, 60, 80, 80, 80, 80]
+GRID_B = [20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 50, 70, 100, 80, 60, 40, 20, 20, 20, 20]
 ABLATION_A = [80, 80, 80, 80, 50, 30, 20, 20, 40, 60, 80, 80, 80, 60, 40, 20, 20, 40, 60]
-ABLATION_B = [20] * 13 + [50, 70, 100, 80, 60, 40]
+ABLATION_B = [20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 20, 50, 70, 100, 80, 60, 40]
 GPS_X = [10, 15, 15, 20, 25, 3000, 40, 45, 45, 60, 75, 80, 85, 90, 95, 100, 105, 110, 115, 120, 125, 130, 135, 140, 145]
 GPS_Y = [10, 15, 20, 20, 25, 25000, 40, 45, 50, 60, 75, 80, 85, 90, 95, 100, 105, 110, 115, 120, 125, 130, 135, 140, 145]
 STOCK_EXAMPLE = [12, 10, 120, 120, 1200, 1200, 1200, 2200, 2200, 3200, 3200]
 STOCK_FOUR = {
     "A": [132.69, 132.69, 131.99, 132.05, 129.41, 200.41, 200.41],
-    "B": [223.52] * 5 + [400.00] * 2,
-    "C": [3218.51] * 5 + [1218.51] * 2,
-    "D": [1751.88] * 5 + [4751.88] * 2,
+    "B": [223.52, 223.52, 223.52, 223.52, 223.52, 400.00, 400.00],
+    "C": [3218.51, 3218.51, 3218.51, 3218.51, 3218.51, 1218.51, 1218.51],
+    "D": [1751.88, 1751.88, 1751.88, 1751.88, 1751.88, 4751.88, 4751.88],
 }
 DAY_MS = 86_400_000
 
@@ -70,15 +70,17 @@ def inject_every(df: DataFrame, column: str, dirty: object, period: int = 11, ph
     return df.withColumn(column, F.when(number % period == phase % period, F.lit(dirty).cast(df.schema[column].dataType)).otherwise(F.col(column)))
 
 
-def _chance(seed: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(100)) + 1
+def draw(n: int, seed: int, *columns: str) -> Column:
+    """A number from 1 to n that depends on the columns' texts and the seed alone (32 bits of an MD5 digest)."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n + 1
 
 
 def inject_percent(df: DataFrame, column: str, percent: int, seed: int = 7, by: str = "key", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """Replaces about percent % of the values by the group's running mean times 1 to 50, with alternating sign. The
     choice is by hash, so it is the same in every run."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = _chance(seed, by, "seq") <= percent
-    many = F.pmod(F.xxhash64(by, "seq", F.lit(seed + 1)), F.lit(50)) + 1
+    hit = draw(100, seed, by, "seq") <= percent
+    many = draw(50, seed + 1, by, "seq")
     sign = F.when(F.sum(hit.cast("int")).over(w) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
     return df.withColumn(column, F.when(hit, F.avg(column).over(w) * many * sign).otherwise(F.col(column)).cast(df.schema[column].dataType))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import csv
 import os
+import threading
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-HEADER = ["experiment", "window_size", "window_slide", "start_ms", "current_ms", "events", "inconsistencies", "avg_inconsistencies"]
+HEADER = ["experiment", "window_size", "window_slide", "start_ms", "current_ms", "events", "inconsistencies", "avg_inconsistencies", "avg_memory_mb", "max_memory_mb", "avg_cpu", "max_cpu"]
 
 
 def write_stream(df: DataFrame, sink: str, name: str, checkpoint: str, mode: str = "append", path: str | None = None, available_now: bool = True) -> StreamingQuery:
@@ -33,15 +34,47 @@ def observed(df: DataFrame, name: str = "metrics") -> tuple[DataFrame, Observati
     return df.observe(seen, F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(violations), F.lit(0)).alias("inconsistencies")), seen
 
 
-def write_metrics(path: str, experiment: str, size: int, slide: int, start_ms: int, seen: Observation) -> None:
-    """Appends a line to a CSV of metrics, with a header if it is new."""
+class Usage:
+    """Memory (MB of heap) and CPU load (0 to 1) of the driver's JVM while a block runs, sampled in a thread."""
+
+    def __init__(self, spark: SparkSession, every_s: float = 0.2):
+        jvm = spark._jvm
+        self._runtime, self._system = jvm.java.lang.Runtime.getRuntime(), jvm.java.lang.management.ManagementFactory.getOperatingSystemMXBean()
+        self._every, self._stop, self.memory, self.cpu = every_s, threading.Event(), [], []
+
+    def _sample(self) -> None:
+        self.memory.append((self._runtime.totalMemory() - self._runtime.freeMemory()) / (1 << 20))
+        self.cpu.append(max(0.0, self._system.getProcessCpuLoad()))
+
+    def _watch(self) -> None:
+        while not self._stop.wait(self._every):
+            self._sample()
+
+    def __enter__(self) -> Usage:
+        self._sample()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stop.set()
+        self._thread.join()
+        self._sample()
+
+    def columns(self) -> list[float]:
+        """Average and maximum of both."""
+        return [f(x) for x in (self.memory, self.cpu) for f in (lambda a: sum(a) / len(a), max)]
+
+
+def write_metrics(path: str, experiment: str, size: int, slide: int, start_ms: int, seen: Observation, usage: Usage | None = None) -> None:
+    """Appends a line to a CSV of metrics on the driver, with a header if it is new; without usage its columns are empty."""
     got, new = seen.get, not os.path.exists(path)
     with open(path, "a", newline="") as f:
         out = csv.writer(f)
         if new:
             out.writerow(HEADER)
         events, bad = got["events"], got["inconsistencies"]
-        out.writerow([experiment, size, slide, start_ms, int(time.time() * 1000), events, bad, bad / events if events else 0.0])
+        out.writerow([experiment, size, slide, start_ms, int(time.time() * 1000), events, bad, bad / events if events else 0.0, *(usage.columns() if usage else [None] * 4)])
 
 
 class MetricsListener(StreamingQueryListener):
