@@ -1,11 +1,17 @@
-"""Vectorised text layouts and rolling hashes shared by the operators that run on Arrow batches.
+"""Vectorised text layouts and hashes shared by the operators that run on Arrow batches.
 
-Hashes are polynomials modulo 2**64 over random byte values, finished by a bit mixer. They are the same
-in every process, so keys of different tasks can be compared.
+Rolling hashes (span_hash, gram_hash) are polynomials modulo 2**64 over random values, finished by a bit mixer. Long
+strings of two bytes can be made that collide in all such polynomials, so over bytes they only choose places and gather
+candidates, whose bytes are compared. What two texts are told apart by is content_hash(): eight bytes at a time through
+the mixer, in two chains independent of each other, and a cryptographic digest from LONG bytes on. Windows of words
+are polynomials over those, of a fixed length that is too short for such strings.
+
+All hashes are the same in every process, so keys of different tasks can be compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +22,10 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_OTHER_VALUES = np.random.Generator(np.random.PCG64(20250301)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Bytes from which on content is digested, and the keys of each chain's steps.
+LONG = 256
+_KEYS = np.random.Generator(np.random.PCG64(20250301)).integers(1, 1 << 63, (2, LONG // 8 + 1), dtype=np.uint64) * U64(2) + U64(1)
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _HIGH = U64(0xFFFFFFFF00000000)
 _LOW = U64(0xFFFFFFFF)
 
@@ -67,9 +76,33 @@ def gram_hash(values: np.ndarray, n: int) -> np.ndarray:
     return mix((prefix[n:] - prefix[:m]) * _powers(_INVERSE, m))
 
 
-def byte_values(data: np.ndarray, other: bool = False) -> np.ndarray:
-    """Random values of bytes; other: a second, independent choice, for hashes of 128 bits together."""
-    return (_OTHER_VALUES if other else _BYTE_VALUES)[data]
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """Random values of bytes."""
+    return _BYTE_VALUES[data]
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; zeros stand behind the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def content_hash(data: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray, chain: int = 0) -> np.ndarray:
+    """Hash of the bytes data[start : start + size]; eight is lanes(data). Spans of one size of up to eight bytes never collide."""
+    size = np.broadcast_to(size, start.shape)
+    keys = _KEYS[chain]
+    out = mix((eight[start] & _HEADS[np.minimum(size, 8)]) ^ keys[0])
+    live = np.flatnonzero((size > 8) & (size < LONG))
+    for j in range(1, LONG // 8):
+        if not len(live):
+            break
+        rest = size[live] - 8 * j
+        out[live] = mix((out[live] + keys[j]) ^ (eight[start[live] + 8 * j] & _HEADS[np.minimum(rest, 8)]))
+        live = live[rest > 8]
+    out = mix(out + size.astype(np.uint64) * keys[-1])
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest()[8 * chain : 8 * chain + 8], "little")
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -149,16 +182,28 @@ class Words:
         self.start = np.flatnonzero(~gap & before)
         self.end = np.flatnonzero(gap & ~before)
         self.doc = np.searchsorted(self.starts, self.start, side="right") - 1
-        self.hash = span_hash(prefix_sums(byte_values(data)), self.start, self.end)
+        self._content = data, lanes(data)
+        self.hash = self.hashes(0)
         #: Of the words, where each text's begin; one more at the end.
         self.first = np.searchsorted(self.start, self.starts)
 
+    def hashes(self, chain: int) -> np.ndarray:
+        return content_hash(*self._content, self.start, self.end - self.start, chain)
+
     def whole(self, n: int) -> np.ndarray:
         """For each run of n words: whether one text holds it all."""
         m = len(self.doc) - n + 1
         return self.doc[n - 1 :] == self.doc[:m] if m > 0 else np.zeros(0, dtype=bool)
 
 
+def distinct_pairs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Where each different pair of hashes stands first."""
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    return order[new]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -23,6 +23,8 @@ ROWS = 2
 LEAST_BITS, MOST_BITS = 16, 27
 #: Blocks of a row.
 SPLIT = 6
+#: Keys, windows or lines that a task holds before it hands them on.
+HELD = 4_000_000
 _MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -126,13 +128,23 @@ def merged(parts: DataFrame, bits: int, heavy: int = 0) -> Sketch:
 
 
 def build(docs: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, heavy: int = 0) -> Sketch:
-    """Counts what keys() gives for the batches of docs; keys of a task are kept until it ends (8 bytes each)."""
+    """Counts what keys() gives for the batches of docs; a task holds some HELD keys (8 bytes each) at once."""
+
+    def part(found: list[np.ndarray]) -> pa.RecordBatch:
+        places, payloads = partial(np.concatenate(found), bits, bool(heavy))
+        return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["place", "cells"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [k for b in batches for k in keys(b)]
-        if found:
-            places, payloads = partial(np.concatenate(found), bits, bool(heavy))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["place", "cells"])
+        found, held = [], 0
+        for batch in batches:
+            for k in keys(batch):
+                found.append(k)
+                held += len(k)
+                if held >= HELD:
+                    yield part(found)
+                    found, held = [], 0
+        if held:
+            yield part(found)
 
     return merged(docs.mapInArrow(count, PARTIAL), bits, heavy)
 

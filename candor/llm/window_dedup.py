@@ -3,8 +3,8 @@
 A window is `size` consecutive words of one document. Pass one counts, in one sketch per task, the sub-window
 that each window chooses (its smallest hash, so that equal windows choose the same place); the merged sketch
 overestimates how often a window occurs. Pass two emits only windows whose sub-window may be repeated and groups
-them exactly. No repeated window is lost. When the sketch is too small for a corpus it lets more windows pass; the
-result stays the same.
+them exactly: by two independent hashes of 64 bits over the contents of their words. No repeated window is lost. When
+the sketch is too small for a corpus it lets more windows pass; the result stays the same.
 
 Defined results: a null or blank text has no words and loses none; a text of fewer than `size` words loses none;
 of rows that share a doc_id, each loses what a smaller id holds at the places found for that id, and windows of
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
@@ -48,39 +48,24 @@ def window_sketch(docs: DataFrame, size: int, sub: int, bits: int | None = None)
     return S.build(docs.select("text"), keys, bits or S.width_for(S.total_bytes(docs) / 6 * 2 / (size - sub + 2)))
 
 
-_WINDOWS = pa.schema([("wh", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
+_WINDOWS = pa.schema([("wh", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
 
 
 def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) -> DataFrame:
-    """Rows (wh, doc_id, pos, len): windows that may be repeated, each once a task and hash (len 0: to be judged);
-    and, with len > 0, runs of window starts that the task itself has found in a smaller document."""
+    """Rows (wh, other, doc_id, pos, len): windows that may be repeated, each once a task and pair of hashes (len 0: to
+    be judged); and, with len > 0, runs of window starts that the task itself has found in a smaller document."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        hashes, ids, places = [], [], []
-        for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, texts in H.text_slices(batch):
-                words, grams, own = _candidates(texts, size, sub)
-                at = np.flatnonzero(own >= 0)
-                used, back = np.unique(own[at], return_inverse=True)
-                at = at[known.repeated(grams[used])[back]]
-                hashes.append(H.gram_hash(words.hash, size)[at])
-                ids.append(doc_ids[a + words.doc[at]])
-                places.append((at - words.first[words.doc[at]]).astype(np.int32))
-        if not hashes:
-            return
-        wh, doc, pos = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
-        del hashes, ids, places
-        order = np.lexsort((pos, doc, wh))
-        wh, doc, pos = wh[order], doc[order], pos[order]
+    def settled(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        wh, other, doc, pos = (np.concatenate(c) for c in found)
+        order = np.lexsort((pos, doc, other, wh))
+        wh, other, doc, pos = wh[order], other[order], doc[order], pos[order]
         new = np.ones(len(wh), dtype=bool)
-        new[1:] = wh[1:] != wh[:-1]
+        new[1:] = (wh[1:] != wh[:-1]) | (other[1:] != other[:-1])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
         later = doc > least
-        # of a document's own repeats, the first is enough to judge the hash; all must learn the answer
-        yield from _batches(_WINDOWS, H.signed(wh[~later]), doc[~later], pos[~later], np.zeros((~later).sum(), np.int32))
+        # of a document's own repeats, the first is enough to judge the hashes; all must learn the answer
+        yield from _batches(_WINDOWS, H.signed(wh[~later]), H.signed(other[~later]), doc[~later], pos[~later], np.zeros((~later).sum(), np.int32))
         doc, pos = doc[later], pos[later]
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
@@ -88,9 +73,30 @@ def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) ->
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)]))
             count = np.diff(np.append(first, len(doc))).astype(np.int32)
             spread = H.signed(H.mix(doc[first].view(np.uint64) ^ pos[first].astype(np.uint64)))
-            yield from _batches(_WINDOWS, spread, doc[first], pos[first], count)
+            yield from _batches(_WINDOWS, spread, spread, doc[first], pos[first], count)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, texts in H.text_slices(batch):
+                words, grams, own = _candidates(texts, size, sub)
+                at = np.flatnonzero(own >= 0)
+                used, back = np.unique(own[at], return_inverse=True)
+                at = at[known.repeated(grams[used])[back]]
+                columns = (H.gram_hash(words.hash, size)[at], H.gram_hash(words.hashes(1), size)[at], doc_ids[a + words.doc[at]], (at - words.first[words.doc[at]]).astype(np.int32))
+                for column, x in zip(found, columns, strict=True):
+                    column.append(x)
+                held += len(at)
+                if held >= S.HELD:
+                    yield from settled(found)
+                    found, held = [[], [], [], []], 0
+        if held:
+            yield from settled(found)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "wh long, doc_id long, pos int, len int")
+    return docs.select("doc_id", "text").mapInArrow(scan, "wh long, other long, doc_id long, pos int, len int")
 
 
 def _batches(schema: pa.Schema, *columns: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -102,8 +108,9 @@ def repeated_starts(docs: DataFrame, size: int = 50, sub: int = SUB_WINDOW, bits
     """(doc_id, runs array<struct<pos, len>>): starts of windows that also start in a document of smaller id."""
     docs = docs.where("doc_id is not null")
     windows = candidate_windows(docs, size, sub, window_sketch(docs, size, sub, bits))
-    least = windows.where("len = 0").groupBy(F.col("wh").alias("known")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    found = windows.join(least, windows.wh == least.known, "left").where("len > 0 or doc_id > least")
+    # one exchange and no second scan; a pair of hashes has a row from each task at most, and those of one document
+    least = F.min(F.when(F.col("len") == 0, F.col("doc_id"))).over(Window.partitionBy("wh", "other"))
+    found = windows.withColumn("least", least).where("len > 0 or doc_id > least")
     return found.select("doc_id", F.struct("pos", F.greatest("len", F.lit(1)).alias("len")).alias("run")).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 

@@ -47,3 +47,14 @@ def test_edges_and_a_sketch_that_is_too_small(spark):
 
 def test_empty_table(spark):
     assert dedup_windows(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_windows_whose_polynomial_hashes_collide(spark):
+    a = b"a"
+    for _ in range(10):
+        a += bytes(195 - c for c in a)
+    other = bytes(195 - c for c in a).decode()
+    a = a.decode()
+    # words of 1024 bytes that differ in each byte, and an equal document
+    df = spark.createDataFrame([(1, " ".join([a] * 50)), (2, " ".join([other] * 50)), (3, " ".join([a] * 50))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_windows(df).collect()} == {1: 0, 2: 0, 3: 50}
