@@ -5,7 +5,8 @@ A line is what newlines separate; edit distance counts UTF-8 bytes. Lines of `le
 goes if an equal one, or one within `edits` edits, stands earlier (smaller doc_id, then smaller line number). All
 lines are judged on the input, not on what is left.
 
-Equal lines are found by 128-bit hashes: each task keeps the first of its own and gives one row a line to an
+Equal lines are found by two independent hashes of their contents, 128 bits together, which stand for a line
+everywhere below: each task keeps the first of its own and gives one row a line to an
 aggregation. For the others each line is cut into edits + 1 segments. Lines within the distance share a segment: one
 holds it whole, at a place that the other's length and the number of edits leave few choices for. Such (length,
 segment, content) keys of index and probe are counted in a merged sketch; only lines with a key that another line may
@@ -72,14 +73,15 @@ class Lines:
         self.number = np.arange(len(ends)) - first[self.doc]
         self.count = np.diff(first)
         self.prefix = H.prefix_sums(H.byte_values(self.data))
+        self.eight = H.lanes(self.data)
 
     def filled(self) -> np.ndarray:
         """Whether a line has more than white space."""
         before = np.concatenate([[0], np.cumsum(~H.SPACE[self.data])])
         return before[self.start + self.size] > before[self.start]
 
-    def hash(self, rows: np.ndarray) -> np.ndarray:
-        return H.span_hash(self.prefix, self.start[rows], self.start[rows] + self.size[rows])
+    def hashes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(H.content_hash(self.data, self.eight, self.start[rows], self.size[rows], chain) for chain in (0, 1))
 
     def keys(self, rows: np.ndarray, edits: int) -> np.ndarray:
         """One column for each probe; those with no difference and no shift are the index keys of the lines themselves."""
@@ -194,9 +196,22 @@ def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
 
 
 def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool) -> DataFrame:
+    def handed_on(found: list[list[np.ndarray]], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h1, h2, doc, line = (np.concatenate(c) for c in found)
+        order = np.lexsort((line, doc, h2, h1))
+        h1, h2, doc, line = h1[order], h2[order], doc[order], line[order]
+        again = np.zeros(len(h1), dtype=bool)
+        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        for kind, some in ((JUDGED, np.flatnonzero(~again)), (AGAIN, np.flatnonzero(again))):
+            for i in range(0, len(some), 1 << 16):
+                k = some[i : i + (1 << 16)]
+                yield _rows(kind, len(k), doc_id=doc[k], line=line[k], h1=H.signed(h1[k]), h2=H.signed(h2[k]))
+        places, payloads = S.partial(np.concatenate(keys), bits)
+        yield _rows(PART, len(places), place=places, cells=payloads)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[], [], [], []]
-        keys = []
+        keys, held = [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
@@ -204,49 +219,40 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool)
                 lines = Lines(texts)
                 yield _rows(DOCUMENT, len(texts), doc_id=doc_ids[a : a + len(texts)], line=np.where(null[a : a + len(texts)], 0, lines.count))
                 rows = np.flatnonzero((lines.size >= least) | lines.filled() if short else lines.size >= least)
-                other = H.prefix_sums(H.byte_values(lines.data, other=True))
-                h1 = lines.hash(rows)
-                h2 = H.span_hash(other, lines.start[rows], lines.start[rows] + lines.size[rows])
+                h1, h2 = lines.hashes(rows)
                 for column, x in zip(found, (h1, h2, doc_ids[a + lines.doc[rows]], lines.number[rows]), strict=True):
                     column.append(x)
-                once = rows[np.unique(h1, return_index=True)[1]]
+                once = rows[H.distinct_pairs(h1, h2)]
                 keys.append(distinct_in_rows(lines.keys(once[lines.size[once] >= least], edits)))
-        if not keys:
-            return
-        h1, h2, doc, line = (np.concatenate(c) for c in found)
-        order = np.lexsort((line, doc, h2, h1))
-        h1, h2, doc, line = h1[order], h2[order], doc[order], line[order]
-        again = np.zeros(len(h1), dtype=bool)
-        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        for kind, some in ((JUDGED, np.flatnonzero(~again)), (AGAIN, np.flatnonzero(again))):
-            for i in range(0, len(some), 1 << 16):
-                k = some[i : i + (1 << 16)]
-                yield _rows(kind, len(k), doc_id=doc[k], line=line[k], h1=H.signed(h1[k]), h2=H.signed(h2[k]))
-        places, payloads = S.partial(np.concatenate(keys), bits)
-        yield _rows(PART, len(places), place=places, cells=payloads)
+                held += len(keys[-1]) + len(rows)
+                if held >= S.HELD:
+                    yield from handed_on(found, keys)
+                    found, keys, held = [[], [], [], []], [], 0
+        if keys:
+            yield from handed_on(found, keys)
 
     return written(docs.select("doc_id", "text").mapInArrow(scan, _FIRST_DDL), "lines")
 
 
 def _second_scan(docs: DataFrame, least: int, edits: int, shared) -> DataFrame:
-    """(h1, keys, line): lines with keys that other lines may have."""
+    """(h1, h2, keys, line): lines with keys that other lines may have."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in H.text_slices(batch):
                 lines = Lines(texts)
                 rows = np.flatnonzero(lines.size >= least)
-                h1 = lines.hash(rows)
-                h1, at = np.unique(h1, return_index=True)
-                rows = rows[at]
+                h1, h2 = lines.hashes(rows)
+                at = H.distinct_pairs(h1, h2)
+                rows, h1, h2 = rows[at], h1[at], h2[at]
                 keys = lines.keys(rows, edits)
                 maybe = shared.value.repeated(keys.ravel()).reshape(keys.shape)
                 keep = np.flatnonzero(maybe.any(axis=1))
                 chosen = [H.signed(np.unique(keys[k][maybe[k]])) for k in keep]
                 body = [lines.data[lines.start[r] : lines.start[r] + lines.size[r]].tobytes() for r in rows[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(h1[keep])), pa.array(chosen, pa.list_(pa.int64())), pa.array(body, pa.binary())], names=["h1", "keys", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(h1[keep])), pa.array(H.signed(h2[keep])), pa.array(chosen, pa.list_(pa.int64())), pa.array(body, pa.binary())], names=["h1", "h2", "keys", "line"])
 
-    return written(docs.select("text").mapInArrow(scan, "h1 long, keys array<long>, line binary"), "candidates")
+    return written(docs.select("text").mapInArrow(scan, "h1 long, h2 long, keys array<long>, line binary"), "candidates")
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None, short: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -267,29 +273,30 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     dealt = member.join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
     sent = dealt.select("h1", F.explode(places).alias("to"))
-    texts = candidates.select("h1", "line").groupBy("h1").agg(F.first("line").alias("text"))
-    placed = earliest.groupBy("h1").agg(F.min("earliest").alias("at"))
+    # of lines that share h1 alone, all go to the hubs of any
+    texts = candidates.select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("text"))
+    placed = earliest.select("h1", "h2", F.col("earliest").alias("at"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list, ids: list, key: tuple) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1 and (gone := repeated_in_block(rows, edits, key[1] != key[2])):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in gone], pa.int64())], names=["h1"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k][c] for k in gone], pa.int64()) for c in (0, 1)], names=["h1", "h2"])
 
         at, rows, ids = None, [], []
         for batch in batches:
-            for hub, i, j, part, h1, doc_id, line, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "part", "h1", "doc_id", "line", "text")), strict=True):
+            for hub, i, j, part, h1, h2, doc_id, line, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "part", "h1", "h2", "doc_id", "line", "text")), strict=True):
                 if (hub, i, j) != at:
                     yield from found(rows, ids, at)
                     at, rows, ids = (hub, i, j), [], []
                 rows.append(((doc_id, line), text, part))
-                ids.append(h1)
+                ids.append((h1, h2))
         yield from found(rows, ids, at)
 
-    blocks = sent.join(texts, "h1").join(placed, "h1").select("to.*", "h1", "at.*", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    near = blocks.mapInArrow(search, "h1 long").distinct().withColumn("near", F.lit(True))
+    blocks = sent.join(texts, "h1").join(placed, ["h1", "h2"]).select("to.*", "h1", "h2", "at.*", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    near = blocks.mapInArrow(search, "h1 long, h2 long").distinct()
 
     late = judged.join(earliest, ["h1", "h2"]).where("struct(doc_id, line) > earliest").select("doc_id", "line")
-    close = earliest.join(near, "h1").select("earliest.doc_id", "earliest.line")
+    close = earliest.join(near, ["h1", "h2"]).select("earliest.doc_id", "earliest.line")
     again = first.where(F.col("kind") == AGAIN).select("doc_id", "line")
     removed = late.unionByName(close).unionByName(again).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     return first.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("line").alias("n_lines")), removed

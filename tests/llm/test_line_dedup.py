@@ -101,3 +101,13 @@ def test_query_cuts_equal_lines_of_any_length(spark, tmp_path):
     texts = ["Ietzte.\n \n\nx\nAll rights reserved.", "Ietzte.\nIetzta.\n \n\nx", "é\nAll rights reserved.\n\t\né", None, ""]
     spark.createDataFrame([(1, i, t, "z") for i, t in enumerate(texts)], SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(op10_line_dedup(spark, str(tmp_path))) == {0: (5, []), 1: (5, [0, 4]), 2: (4, [1, 3]), 3: (0, []), 4: (1, [])}
+
+
+def test_lines_whose_polynomial_hashes_collide(spark):
+    a = b"a"
+    for _ in range(10):
+        a += bytes(195 - c for c in a)
+    other = bytes(195 - c for c in a).decode()
+    a = a.decode()
+    df = spark.createDataFrame([(1, a), (2, other), (3, a), (4, a[:-1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_decisions(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
