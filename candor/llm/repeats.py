@@ -9,7 +9,7 @@ tested for diversity by a second such scan: where they differ, a repeat can't be
 maximal, and all members of the (sub)interval are its occurrences. All but the first occurrence can go.
 
 A hash that the sketch counts `heavy` times or more isn't gathered in a task: windows around such anchors are
-compared by 128 bits of hashes in an aggregation with partial sums, and an equi-join. So no task's group exceeds
+compared by 128 bits of independent content hashes in an aggregation with partial sums, and an equi-join. So no task's group exceeds
 `heavy` rows, and nothing is dropped.
 
 Defined results: null and empty texts have no bytes; repeats never cross documents; a repeat inside one document
@@ -38,22 +38,21 @@ ANCHOR = 24
 HEAVY = 32768
 
 
-def _anchors(texts: list[bytes], size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, text starts, hash of each k bytes, byte values, and for each window its anchor (-1: no window)."""
+def _anchors(texts: list[bytes], size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, text starts, hash of each k bytes, and for each window its anchor (-1: no window)."""
     data, starts = H.concatenated(texts)
-    values = H.byte_values(data)
-    grams = H.gram_hash(values, k)
+    grams = H.gram_hash(H.byte_values(data), k)
     own = H.owners(grams, size - k + 1)
     n = len(own)
     at = np.searchsorted(starts, np.arange(n), side="right") - 1 if n else np.zeros(0, np.int64)
     inside = np.arange(n) + size < starts[at + 1]  # the gap byte isn't of the text
-    return data, starts, grams, values, np.where(inside, own, -1)
+    return data, starts, grams, np.where(inside, own, -1)
 
 
 def anchor_sketch(docs: DataFrame, size: int, k: int, heavy: int, bits: int | None = None) -> S.Sketch:
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, texts in H.text_slices(batch):
-            _, _, grams, _, own = _anchors(texts, size, k)
+            _, _, grams, own = _anchors(texts, size, k)
             yield grams[np.unique(own[own >= 0])]
 
     return S.build(docs.select("text"), keys, bits or S.width_for(S.total_bytes(docs) * 2 / (size - k + 2)), heavy)
@@ -73,7 +72,7 @@ def _contexts(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, texts in H.text_slices(batch):
-                data, starts, grams, _, own = _anchors(texts, size, k)
+                data, starts, grams, own = _anchors(texts, size, k)
                 pos = np.unique(own[own >= 0])
                 h = grams[pos]
                 keep = known.repeated(h) & ~known.is_heavy(h)
@@ -208,19 +207,27 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         kept: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, texts in H.text_slices(batch):
-                _, starts, grams, values, own = _anchors(texts, size, k)
+                data, starts, grams, own = _anchors(texts, size, k)
                 at = np.flatnonzero(own >= 0)
                 used, back = np.unique(own[at], return_inverse=True)
                 at = at[known.is_heavy(grams[used])[back]]
                 if len(at):
-                    doc = np.searchsorted(starts, at, side="right") - 1
-                    for column, found in zip(kept, (H.gram_hash(values, size)[at], grams[own[at]], doc_ids[a + doc], at - starts[doc]), strict=True):
+                    doc, eight = np.searchsorted(starts, at, side="right") - 1, H.lanes(data)
+                    columns = (*(H.content_hash(data, eight, at, np.int64(size), chain) for chain in (0, 1)), doc_ids[a + doc], at - starts[doc])
+                    for column, found in zip(kept, columns, strict=True):
                         column.append(found)
-        if not kept[0]:
-            return
+                    held += len(at)
+                    if held >= S.HELD:
+                        yield from settled(kept)
+                        kept, held = [[], [], [], []], 0
+        if held:
+            yield from settled(kept)
+
+    def settled(kept: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         wh, h, doc, pos = (np.concatenate(c) for c in kept)
         order = np.lexsort((pos, doc, h, wh))
         wh, h, doc, pos = wh[order], h[order], doc[order], pos[order]

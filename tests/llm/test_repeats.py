@@ -83,3 +83,16 @@ def test_groups_list_all_occurrences_of_maximal_repeats(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_heavy_windows_of_equal_polynomial_hashes(spark):
+    """Windows of 1024 bytes: different strings of two letters whose polynomials modulo 2**64 are equal."""
+    a = b"a"
+    for _ in range(10):
+        a += bytes(195 - c for c in a)
+    other = bytes(195 - c for c in a).decode()
+    a = a.decode()
+    head = "0123456789abcdefghijklmn"
+    df = spark.createDataFrame([(1, head + a), (2, head + other), (3, head + a)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, size=len(head) + 1024, k=24, heavy=2).collect()}
+    assert got == {1: 0, 2: 0, 3: len(head) + 1024}
