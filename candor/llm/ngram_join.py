@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join by T-occurrence search with DivideSkip, and the components of its links.
 
-Each document is the set of its word n-grams (64-bit hashes). Equal sets are one node. To reach a similarity, two sets
+Each document is the set of its word n-grams (64-bit hashes of content hashes of words). Equal sets are one node. To reach a similarity, two sets
 must share an n-gram among the first few of each, in an order that all tasks agree on: n-grams that a merged sketch
 marks as frequent come last. A second sketch counts the leading n-grams; a set of which too few may occur in another
 set's too is linked with none. The others' leading n-grams are gathered, apart for sizes that can't be linked; each
 list gets its smallest set as hub, and every set on the list is sent to that hub once, however many n-grams
 they share. So each pair that can reach the similarity meets at a hub, and no list is expanded into pairs.
 
-At a hub the sets' inverted lists answer a T-occurrence query for each set: DivideSkip merges the short lists with a
-heap, keeps the sets found often enough there, and binary-probes the long lists for those only. Sets already in one
-component aren't probed again. Hubs with more than `block` sets are cut into chunks, and every pair of chunks is
+At a hub the sets' inverted lists answer a T-occurrence query for each set. DivideSkip divides them: of L long lists and
+the short rest, a partner stands on T - L short ones at least. Those are merged with a heap, which counts occurrences
+and skips what can't reach T - L any more; only the sets found are looked up in the long lists, by binary search, and
+those that reach the overlap that both sizes ask for are links. Sets already in one component aren't looked up again. Hubs with more than `block` sets are cut into chunks, and every pair of chunks is
 searched on its own, so no task holds an unbounded group.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing (n 0, component: their own
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ BLOCK, BLOCK_GRAMS = 2048, 4 << 20
 #: n-grams counted so often come last in the order, and so often in a task to be counted at all.
 FREQUENT, LOCAL = 64, 4
 _FREQUENT_BITS = 20
+#: What a step of a merge costs, as a share of a look-up; sets how many lists are long.
+MU = 0.05
 
 
 def gram_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -149,6 +153,38 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
     return tokens.join(hubs, tokens.token == hubs.shared).select("d1", "n", "hub").distinct()
 
 
+def long_lists(least: int, longest: int) -> int:
+    """How many lists, the longest ones, are looked up instead of merged: fewer, the longer the longest of them is."""
+    return min(least - 1, int(least / (MU * math.log2(max(longest, 2)) + 1)))
+
+
+def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """(value, times) of the values on `need` or more of the ascending lists.
+
+    The heap holds the head of each list. Where its least value is on too few lists, need - 1 lists are taken off and
+    moved on, by binary search, to the least head of the others: what they skip is on need - 1 lists at most.
+    """
+    at = [0] * len(lists)
+    heap = [(values[0], k) for k, values in enumerate(lists) if values]
+    heapq.heapify(heap)
+    while len(heap) >= need:
+        value, taken = heap[0][0], []
+        while heap and heap[0][0] == value:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= need:
+            yield value, len(taken)
+            for k in taken:
+                at[k] += 1
+        else:
+            while len(taken) < need - 1:
+                taken.append(heapq.heappop(heap)[1])
+            for k in taken:
+                at[k] = bisect_left(lists[k], heap[0][0], at[k])
+        for k in taken:
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
+
+
 def divide_skip(sets: list[np.ndarray], percent: int, chunks: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect all sets of one block that reach the similarity, directly or through others.
 
@@ -174,30 +210,17 @@ def divide_skip(sets: list[np.ndarray], percent: int, chunks: list[int] | None =
         mine = token_of[begins[x] : begins[x + 1]]
         mine = mine[counts[mine] > 1]
         t = -(-2 * percent * n // (100 + percent))  # what a set of the same size must share; larger ones more
-        if len(mine) < t or m == 1:
+        if len(mine) < t or (group[x + 1 :] == group[x]).all():
             continue
-        length = counts[mine]
-        by_length = mine[np.argsort(length, kind="stable")]
-        n_long = t - 1  # each long list can hide one occurrence
+        by_length = mine[np.argsort(counts[mine], kind="stable")]
+        n_long = long_lists(t, int(counts[by_length[-1]]))
         short, long = by_length[: len(mine) - n_long], by_length[len(mine) - n_long :]
-        merged = [lists[ends[k] - counts[k] : ends[k]] for k in short.tolist()]
-        if sum(map(len, merged)) <= 64:
-            found = list(heapq.merge(*(a.tolist() for a in merged)))
-            candidates = np.array(sorted({y for y in found if y > x}), dtype=np.int64)
-        else:
-            candidates = np.unique(np.concatenate(merged))
-            candidates = candidates[candidates > x]
-        occurred = t - n_long  # 1: the least number of short lists that a partner is on
-        candidates = candidates[(group[candidates] != group[x]) & (100 * n >= percent * sizes[candidates])]
-        if side is not None:
-            candidates = candidates[side[candidates] != side[x]]
-        for y in candidates.tolist():
-            if group[y] == group[x]:
+        later = (lists[ends[k] - counts[k] : ends[k]] for k in short.tolist())
+        for y, in_short in merge_skip([a[np.searchsorted(a, x + 1) :].tolist() for a in later], t - n_long):
+            if group[y] == group[x] or 100 * n < percent * sizes[y] or (side is not None and side[y] == side[x]):
                 continue
             need = -(-percent * (n + int(sizes[y])) // (100 + percent))
-            held = token_of[begins[y] : begins[y + 1]]
-            in_short = _probe(held, short)
-            if in_short >= occurred and in_short + len(long) >= need and in_short + _probe(held, long) >= need:
+            if in_short + n_long >= need and in_short + _probe(token_of[begins[y] : begins[y + 1]], long) >= need:
                 links.append((int(rank[x]), int(rank[y])))
                 group[group == group[y]] = group[x]
     return links

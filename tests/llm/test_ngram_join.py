@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from candor.llm import ngram_join
 from candor.llm.components import connected_components
 from candor.llm.ngram_join import components, dedup, divide_skip
 
@@ -93,3 +94,49 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
 
 def test_empty_table(spark):
     assert components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_merge_skip_counts_what_stands_on_enough_lists():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        lists = [sorted(set(rng.integers(0, 40, rng.integers(0, 25)).tolist())) for _ in range(rng.integers(1, 9))]
+        need = int(rng.integers(1, 6))
+        times = {v: sum(v in one for one in lists) for v in range(40)}
+        assert list(ngram_join.merge_skip(lists, need)) == [(v, k) for v, k in times.items() if k >= need]
+
+
+def test_short_lists_are_merged_and_long_ones_probed(monkeypatch):
+    """Sets of some size: partners must stand on several short lists, and few sets are looked up in the long ones."""
+    rng = np.random.default_rng(8)
+    common = np.arange(400, dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        own = np.arange(1000 + 1000 * (k // 2), 1000 + 1000 * (k // 2) + 60, dtype=np.uint64)
+        sets.append(np.sort(np.concatenate([rng.choice(common, 140, replace=False), own[rng.permutation(60)[:59]]])))
+    needs, probes = [], []
+    merge, probe = ngram_join.merge_skip, ngram_join._probe
+    monkeypatch.setattr(ngram_join, "merge_skip", lambda lists, need: needs.append(need) or merge(lists, need))
+    monkeypatch.setattr(ngram_join, "_probe", lambda held, tokens: probes.append(len(tokens)) or probe(held, tokens))
+    links = ngram_join.divide_skip(sets, 60)
+    want = {(a, b) for a in range(120) for b in range(a) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 60 * (len(sets[a]) + len(sets[b]) - k)}
+    reach = lambda pairs: {frozenset(c) for c in _parts(120, pairs)}
+    assert reach(links) == reach(want)
+    assert min(needs) > 1 and 0 < len(probes) < 120 * 119 / 8
+
+
+def _parts(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        of = [of[a] if g == of[b] else g for g in of]
+    return [[k for k in range(n) if of[k] == g] for g in set(of)]
+
+
+def test_texts_whose_polynomial_hashes_collide(spark):
+    a = b"a"
+    for _ in range(10):
+        a += bytes(195 - c for c in a)
+    other = bytes(195 - c for c in a).decode()
+    a = a.decode()
+    # words of 1024 bytes that differ in each byte
+    df = spark.createDataFrame([(1, f"{a} x {a} y"), (2, f"{other} x {other} y"), (3, f"{a} x {a} y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(df).collect()} == {1: 1, 2: 2, 3: 1}
