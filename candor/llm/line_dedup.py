@@ -8,9 +8,10 @@ lines are judged on the input, not on what is left.
 Equal lines are found by two independent hashes of their contents, 128 bits together, which stand for a line
 everywhere below: each task keeps the first of its own and gives one row a line to an
 aggregation. For the others each line is cut into edits + 1 segments. Lines within the distance share a segment: one
-holds it whole, at a place that the other's length and the number of edits leave few choices for. Such (length,
-segment, content) keys of index and probe are counted in a merged sketch; only lines with a key that another line may
-have leave the second scan. The smallest line on a key's list is its hub, to which every line on the list goes once.
+holds it whole, at a place that the other's length and the number of edits leave few choices for. A line indexes
+(length, segment, content) keys, edits + 1 of them, and probes for more (12 at 2 edits). One merged sketch counts what
+is indexed; what a second scan probes for and may be indexed by another line goes into another one; only lines that
+probe for such a key, or index a key that may be probed for, leave the third scan, with those keys. The smallest line on a key's list is its hub, to which every line on the list goes once.
 At a hub lines are searched from short to long in a length-aware substring index, and candidates are verified by
 banded bit-parallel edit distance, until an earlier line is found. Hubs of more than `block` lines are cut into chunks
 of which every pair is searched on its own.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
 from candor.llm import sketch as S
-from candor.llm.shared import written
+from candor.llm.shared import unused, written
 
 #: Bytes of a line that takes part, at least; edits at most.
 LEAST, EDITS = 24, 2
@@ -99,6 +100,11 @@ class Lines:
         return np.stack(out, axis=1)
 
 
+def indexed(edits: int) -> np.ndarray:
+    """Which of the probes are the index keys of the line itself."""
+    return np.array([not less and not shift for less, _, shift in probes(edits)])
+
+
 def distinct_in_rows(keys: np.ndarray) -> np.ndarray:
     """The keys of all lines, each once a line: a key of two lines stands there twice, wherever the lines stand."""
     keys = np.sort(keys, axis=1)
@@ -155,33 +161,53 @@ def _plain(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
+#: Buckets of a line's profile; more candidates than SOME are compared by profile first.
+PROFILE, SOME = 64, 8
+
+
+def profiles(texts: list[bytes]) -> np.ndarray:
+    """Counts of each text's byte pairs, by bucket. An edit takes two away at most, and adds two at most."""
+    data, starts = H.concatenated(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    code = (data[:-1].astype(np.uint32) * np.uint32(257) + data[1:]) * np.uint32(2654435761) >> np.uint32(33 - PROFILE.bit_length())
+    inside = owner[1:] == owner[:-1]
+    return np.bincount(owner[:-1][inside] * PROFILE + code[inside], minlength=len(texts) * PROFILE).reshape(-1, PROFILE).astype(np.int32)
+
+
 def repeated_in_block(lines: list[tuple[tuple, bytes, int]], edits: int, apart: bool = False) -> list[int]:
     """Of lines (place, text, chunk) with distinct texts, those with another of an earlier place within the distance.
 
-    apart: only lines of different chunks are compared.
+    apart: only lines of different chunks are compared. Of many candidates, those are verified whose profiles allow it.
     """
     index: dict[tuple, list[int]] = {}
-    gone: set[int] = set()
-    ways = probes(edits)
-    for x in sorted(range(len(lines)), key=lambda k: len(lines[k][1])):
-        place, text, chunk = lines[x]
-        seen = {x}
+    ways, n = probes(edits), len(lines)
+    order = np.empty(n, dtype=np.int64)
+    order[sorted(range(n), key=lambda k: lines[k][0])] = np.arange(n)
+    chunk, gone, profile = np.array([c for _, _, c in lines]), np.zeros(n, dtype=bool), None
+    for x in sorted(range(n), key=lambda k: len(lines[k][1])):
+        text, met = lines[x][1], []
         for less, i, shift in ways:
             at, wide = segment(len(text) - less, i, edits)
             at += shift
-            if at < 0:
-                continue
-            for y in index.get((len(text) - less, i, text[at : at + wide]), ()):
-                if y in seen:
-                    continue
-                seen.add(y)
-                late = x if place > lines[y][0] else y
-                if late not in gone and not (apart and chunk == lines[y][2]) and within(text, lines[y][1], edits):
-                    gone.add(late)
+            if at >= 0 and (found := index.get((len(text) - less, i, text[at : at + wide]))):
+                met.append(found)
+        if met:
+            y = np.array(met[0]) if len(met) == 1 else np.unique(np.concatenate(met))
+            y = y[~gone[np.where(order[y] < order[x], x, y)]]
+            if apart:
+                y = y[chunk[y] != chunk[x]]
+            if len(y) > SOME:
+                profile = profiles([t for _, t, _ in lines]) if profile is None else profile
+                apart_by = profile[y] - profile[x]
+                y = y[(np.maximum(apart_by, 0).sum(axis=1) <= 2 * edits) & (np.maximum(-apart_by, 0).sum(axis=1) <= 2 * edits)]
+            for k in y.tolist():
+                late = x if order[k] < order[x] else k
+                if not gone[late] and within(text, lines[k][1], edits):
+                    gone[late] = True
         for i in range(edits + 1):
             at, wide = segment(len(text), i, edits)
             index.setdefault((len(text), i, text[at : at + wide]), []).append(x)
-    return sorted(gone)
+    return np.flatnonzero(gone).tolist()
 
 
 _FIRST = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("line", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("place", pa.int32()), ("cells", pa.binary())])
@@ -223,7 +249,7 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool)
                 for column, x in zip(found, (h1, h2, doc_ids[a + lines.doc[rows]], lines.number[rows]), strict=True):
                     column.append(x)
                 once = rows[H.distinct_pairs(h1, h2)]
-                keys.append(distinct_in_rows(lines.keys(once[lines.size[once] >= least], edits)))
+                keys.append(distinct_in_rows(lines.keys(once[lines.size[once] >= least], edits)[:, indexed(edits)]))
                 held += len(keys[-1]) + len(rows)
                 if held >= S.HELD:
                     yield from handed_on(found, keys)
@@ -234,19 +260,44 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool)
     return written(docs.select("doc_id", "text").mapInArrow(scan, _FIRST_DDL), "lines")
 
 
-def _second_scan(docs: DataFrame, least: int, edits: int, shared) -> DataFrame:
-    """(h1, h2, keys, line): lines with keys that other lines may have."""
+def _distinct_lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple[Lines, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines of each slice of a batch, and the first of its equal long lines with their hashes."""
+    for _, texts in H.text_slices(batch):
+        lines = Lines(texts)
+        rows = np.flatnonzero(lines.size >= least)
+        h1, h2 = lines.hashes(rows)
+        at = H.distinct_pairs(h1, h2)
+        yield lines, rows[at], h1[at], h2[at]
+
+
+def _met(keys: np.ndarray, own: np.ndarray, index: S.Sketch) -> np.ndarray:
+    """Of lines' keys, those that another line may index."""
+    flat = keys.ravel()
+    return np.where(own[None, :], index.repeated(flat).reshape(keys.shape), index.present(flat).reshape(keys.shape))
+
+
+def _probed(docs: DataFrame, least: int, edits: int, index, bits: int) -> S.Sketch:
+    """What lines probe for and others may index."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        own = indexed(edits)
+        for lines, rows, _, _ in _distinct_lines(batch, least):
+            made = lines.keys(rows, edits)
+            yield made[_met(made, own, index.value)]
+
+    return S.build(docs.select("text"), keys, bits, single=True)
+
+
+def _candidates(docs: DataFrame, least: int, edits: int, index, probed) -> DataFrame:
+    """(h1, h2, keys, line): lines with keys that other lines may index, or probe for."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = indexed(edits)
         for batch in batches:
-            for _, texts in H.text_slices(batch):
-                lines = Lines(texts)
-                rows = np.flatnonzero(lines.size >= least)
-                h1, h2 = lines.hashes(rows)
-                at = H.distinct_pairs(h1, h2)
-                rows, h1, h2 = rows[at], h1[at], h2[at]
+            for lines, rows, h1, h2 in _distinct_lines(batch, least):
                 keys = lines.keys(rows, edits)
-                maybe = shared.value.repeated(keys.ravel()).reshape(keys.shape)
+                maybe = _met(keys, own, index.value)
+                maybe[:, own] |= probed.value.present(keys[:, own].ravel()).reshape(-1, int(own.sum()))
                 keep = np.flatnonzero(maybe.any(axis=1))
                 chosen = [H.signed(np.unique(keys[k][maybe[k]])) for k in keep]
                 body = [lines.data[lines.start[r] : lines.start[r] + lines.size[r]].tobytes() for r in rows[keep]]
@@ -258,11 +309,12 @@ def _second_scan(docs: DataFrame, least: int, edits: int, shared) -> DataFrame:
 def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK, bits: int | None = None, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(counts(doc_id, n_lines), removed(doc_id, lines array<long>))."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    # some 15 keys in each line of some 200 bytes
-    bits = bits or S.width_for(S.total_bytes(docs) / 14)
+    # a few keys in each line of some 200 bytes, and four cells for each
+    bits = bits or S.width_for(S.total_bytes(docs) / 33)
     first = _first_scan(docs, least, edits, bits, short)
-    sketch = S.merged(first.where(F.col("kind") == PART).select("place", "cells"), bits)
-    candidates = _second_scan(docs, least, edits, docs.sparkSession.sparkContext.broadcast(sketch))
+    context = docs.sparkSession.sparkContext
+    index = context.broadcast(S.merged(first.where(F.col("kind") == PART).select("place", "cells"), bits, single=True))
+    candidates = _candidates(docs, least, edits, index, context.broadcast(_probed(docs, least, edits, index, bits)))
 
     judged = first.where(F.col("kind") == JUDGED).select("doc_id", "line", "h1", "h2")
     earliest = judged.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("earliest"))
@@ -312,7 +364,9 @@ def line_decisions(docs: DataFrame, least: int = LEAST, edits: int = EDITS, bloc
 def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
     """docs with shortened texts, without documents that lost lines and have nothing but white space left."""
     _, removed = removed_lines(docs, least, edits, block)
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
-    joined = docs.join(removed.withColumnRenamed("lines", "_lines"), "doc_id", "left")
-    cut = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
-    return cut.where("_lines is null or text is null or text rlike '[^ \\\\t\\\\n\\\\r]'").select(docs.columns)
+    cut_id, lines = unused(docs, "cut_id"), unused(docs, "lines")
+    removed = removed.select(F.col("doc_id").alias(cut_id), F.col("lines").alias(lines))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(lines, i.cast("long"))), "\n")
+    joined = docs.join(removed, docs["doc_id"] == removed[cut_id], "left")
+    cut = joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept))
+    return cut.where(F.col(lines).isNull() | F.col("text").isNull() | F.col("text").rlike("[^ \\t\\n\\r]")).drop(cut_id, lines)

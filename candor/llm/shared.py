@@ -21,6 +21,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, whatever their columns' names, without the rows of the doc_ids in gone(gone_id)."""
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 _made: dict[str, str] = {}
 
 

@@ -111,3 +111,36 @@ def test_lines_whose_polynomial_hashes_collide(spark):
     a = a.decode()
     df = spark.createDataFrame([(1, a), (2, other), (3, a), (4, a[:-1])], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in line_decisions(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_profiles_never_rule_out_a_near_line():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = bytes(rng.choice(b"ab c1") for _ in range(rng.randrange(1, 40)))
+        b = bytearray(a)
+        for _ in range(edits := rng.randrange(1, 4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = bytes([rng.choice(b"ab c1")] * rng.randrange(2))
+        d = line_dedup.profiles([a, bytes(b)])
+        up, down = (int(x.clip(0).sum()) for x in (d[0] - d[1], d[1] - d[0]))
+        assert max(up, down) <= 2 * edits
+
+
+def test_many_lines_of_one_pattern(spark):
+    """20,000 lines that share a long segment and differ in numbers; every hundredth has a near copy."""
+    lines = [f"{k * 7919 % 100003:06d} is the number of a line whose other words are all the same {k * 104729 % 1000003:08d}" for k in range(20_000)]
+    near = [x[:10] + "#" + x[10:] for x in lines[::100]]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(near))], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_lines"] for r in line_decisions(df).collect()}
+    assert got[2] == list(range(200)) and set(got[1]) == {k for k, x in enumerate(lines) if any(line_dedup.within(x.encode(), y.encode(), 2) for y in _close(lines, k))}
+
+
+def _close(lines, k, seen={}):
+    """Earlier lines with the same first or the same second number, or with both near in digits."""
+    if not seen:
+        for at, x in enumerate(lines):
+            for part in (x[:6], x[-8:]):
+                for drop in range(len(part)):
+                    seen.setdefault((len(part), drop, part[:drop] + part[drop + 1 :]), []).append(at)
+    x = lines[k]
+    return {lines[j] for part in (x[:6], x[-8:]) for drop in range(len(part)) for j in seen[len(part), drop, part[:drop] + part[drop + 1 :]] if j < k}
