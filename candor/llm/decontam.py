@@ -1,13 +1,15 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams, in DataFrame functions only.
 
-Test texts become windows of `size` words (a shorter text is one window). Each window is filed under its longest
-word, so the broadcast relation is a hash table from such words to whole windows. Documents are scanned once: every
-word probes the table, and only where it is found the window around it is compared with the test window, word by
-word. Only hits leave the scan. A test set of more than `block` windows is broadcast in several blocks, each with a
-scan of its own, so no broadcast exceeds that bound.
+Test texts become windows of `size` words (a shorter text is one window). Each window is filed under the hash of its
+longest two neighbouring words (of its only word, if it has one), so the broadcast relation is a hash table from such
+pairs to whole windows; few windows share one, even where a word is common. Documents are scanned once: every pair of
+neighbouring words probes the table, and only where it is found the window around it is compared with the test window,
+word by word. Only hits leave the scan. A test set of more than `block` windows, or of more than BLOCK_BYTES, is
+broadcast in several blocks, each with a scan of its own, so no broadcast exceeds those bounds (one longer window
+excepted). Single words probe in a scan of their own, if any test text is a single word.
 
 Defined results: null and blank texts have no words and no hits, in documents and in tests; a document repeated under
-one doc_id gets the hits of all rows of that id; rows without a doc_id are never hit; empty tables give no hits; extra
+one doc_id gets the hits of all rows of that id, and decontaminate() keeps or drops these together; rows without a doc_id are never hit; empty tables give no hits; extra
 columns of documents are kept by decontaminate() and ignored by contamination().
 """
 
@@ -18,11 +20,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor.llm.shared import unused, without
+
 #: ASCII without digits and lower-case letters separates words; everything beyond ASCII belongs to them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Windows in one broadcast: some 300 bytes each in memory.
-BLOCK = 200_000
+#: Windows in one broadcast, some 300 bytes each in memory, and bytes of their words.
+BLOCK, BLOCK_BYTES = 200_000, 32 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -38,28 +42,41 @@ def count_words(words: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, gram, anchor, ahead): each window, its longest word, and how many words stand before that."""
+    """(item_id, gram, anchor, ahead): each window, the hash of its longest two neighbouring words, and how many words
+    stand before them."""
     words = benchmark.select("item_id", F.filter(split_words(F.col("text")), lambda w: w != "").alias("words")).where("size(words) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
     grams = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("gram")).distinct()
-    longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("size"), w.alias("word"), (-i).alias("place"))))
-    return grams.select("item_id", "gram", longest.alias("best")).select("item_id", "gram", F.col("best.word").alias("anchor"), (-F.col("best.place")).alias("ahead"))
+    following = lambda i: F.get("gram", i + 1)
+    longest = F.array_max(F.transform("gram", lambda w, i: F.struct((F.length(w) * following(i).isNotNull().cast("int") + F.coalesce(F.length(following(i)), F.lit(0))).alias("size"), (-i).alias("place"))))
+    placed = grams.select("item_id", "gram", (-longest["place"]).alias("ahead"))
+    return placed.select("item_id", "gram", "ahead", pair_hash(F.get("gram", F.col("ahead")), F.get("gram", F.col("ahead") + 1)).alias("anchor"))
+
+
+def pair_hash(word: Column, following: Column) -> Column:
+    """Of a word and the one behind it; a null isn't hashed, so a single word has the hash of itself alone."""
+    return F.xxhash64(word, following)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLOCK) -> DataFrame:
     """(doc_id, start, len, item_id): the occurrences of test windows; start counts from split_words()' first element."""
     grams = item_windows(benchmark, size)
-    n = grams.count()
-    blocks = [grams] if n <= block else [grams.where(F.pmod(F.xxhash64("gram"), F.lit(-(-n // block))) == k) for k in range(-(-n // block))]
+    size_of = F.aggregate("gram", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w))
+    found = grams.groupBy((F.size("gram") == 1).alias("single")).agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("bytes")).collect()  # two rows
     words = docs.where("doc_id is not null").select("doc_id", split_words(F.col("text")).alias("words"))
     scanned = words.select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
 
-    def probe(some: DataFrame) -> DataFrame:
+    def probe(some: DataFrame, single: bool) -> DataFrame:
         around = F.when(F.col("pos") >= F.col("ahead"), F.slice("words", F.col("pos") - F.col("ahead") + 1, F.size("gram")) == F.col("gram"))
-        found = scanned.join(F.broadcast(some), (F.col("word") == F.col("anchor")) & around)
+        key = pair_hash(F.col("word"), F.lit(None).cast("string") if single else F.get("words", F.col("pos") + 1))
+        found = scanned.join(F.broadcast(some), (key == F.col("anchor")) & around)
         return found.select("doc_id", (F.col("pos") - F.col("ahead")).alias("start"), F.size("gram").alias("len"), "item_id")
 
-    return reduce(DataFrame.unionByName, [probe(b) for b in blocks])
+    parts = []
+    for r in found:
+        kind, count = grams.where((F.size("gram") == 1) == r["single"]), max(1, -(-r["n"] // block), -(-r["bytes"] // BLOCK_BYTES))
+        parts += [probe(kind if count == 1 else kind.where(F.pmod(F.xxhash64("gram"), F.lit(count)) == k), r["single"]) for k in range(count)]
+    return reduce(DataFrame.unionByName, parts) if parts else probe(grams, False)
 
 
 def hit_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLOCK) -> DataFrame:
@@ -87,13 +104,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     """docs without contaminated documents; or, with remove="spans", with the words hit cut from their texts (the
     other words of such a text are then joined by spaces, in their own case and without what stood between them)."""
     if remove == "documents":
-        return docs.join(hits(docs, benchmark, size, block).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        return without(docs, hits(docs, benchmark, size, block).select(F.col("doc_id").alias("gone_id")).distinct())
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove}")
     raw = F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    kept = F.filter(raw, lambda w, i: (w != "") & ~F.array_contains("_places", i))
-    joined = docs.join(hit_documents(docs, benchmark, size, block).select("doc_id", F.col("places").alias("_places")), "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
+    hit, places = unused(docs, "hit_id"), unused(docs, "places")
+    found = hit_documents(docs, benchmark, size, block).select(F.col("doc_id").alias(hit), F.col("places").alias(places))
+    kept = F.filter(raw, lambda w, i: (w != "") & ~F.array_contains(places, i))
+    joined = docs.join(found, docs["doc_id"] == found[hit], "left")
+    return joined.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).drop(hit, places)
 
 
 ORACLE_SQL = r"""

@@ -51,3 +51,13 @@ def test_empty_tables(spark):
     b, d = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(0, 0, 1, "a b")], DOCS)
     assert got(contamination(d, b))[1][:3] == (2, 0, 0)
     assert contamination(d.limit(0), b).collect() == []
+
+
+def test_windows_that_share_a_long_word_and_single_words(spark):
+    items = [(k, f"internationalization of part {k} " + " ".join(f"w{k}x{i}" for i in range(6))) for k in range(30)] + [(100, "Zebra"), (101, "zebra crossing")]
+    docs = [(1, "internationalization " * 50), (2, "x " + items[7][1] + " y"), (3, "a zebra"), (4, "a ZEBRA crossing zebra"), (5, "zebras")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    got = {r["doc_id"]: r for r in contamination(*frames).collect()}
+    assert {i: (r["n_words"], r["n_hit"], r["n_items"]) for i, r in got.items()} == {1: (50, 0, 0), 2: (12, 10, 1), 3: (2, 1, 1), 4: (4, 3, 2), 5: (1, 0, 0)}
+    assert {i: r["contaminated"] for i, r in got.items()} == {i: h[4] for i, h in want.items()}
