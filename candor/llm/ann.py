@@ -1,14 +1,15 @@
 """Approximate nearest neighbours with balanced posting lists on disk and a graph of their centroids in memory.
 
-Centroids are fitted on a bounded sample by balanced k-means: lists that grow too long are split in two. Every vector
-is indexed: under its nearest centroid, and also under further ones, `replicas` in all, whose distance is at most
+Centroids are fitted on a bounded sample by balanced k-means: after each round, centroids of the emptiest lists move
+into the fullest ones. Every vector is indexed: under its nearest centroid, and also under further ones, `replicas` in all, whose distance is at most
 (1 + `boundary`) times the nearest. (Leaving out centroids that lie near one already chosen is no option where centroids
 are nearer to each other than vectors are to them, as in many dimensions: then no vector would have a replica.) Only the centroids, at most `most_centroids`, are held in memory and broadcast, with a neighbour graph that
 best-first search walks; the graph's start points are spread over the centroids. A query reads the lists whose centroid
 is at most (1 + `prune`) times as far as the nearest, up to `most_lists`, but never less than the nearest `share` of all
 lists: with a fixed number of lists recall falls as tables grow. Where that share is more than `beam`, centroids are
-ranked by all distances instead of the graph. Lists longer than `block` rows are cut into parts that tasks read one by
-one. Distances are exact, in double precision.
+ranked by all distances instead of the graph. Lists longer than `block` rows are cut into parts, and queries into blocks
+of about `queries`; a task holds one part and one block. Distances are exact, in double precision, also where squares
+would overflow.
 
 Defined results: vectors that are null, all zero, of another length than most, or with null or non-finite parts take no
 part, neither as queries nor as candidates; a query is never its own neighbour; equal distances go to the smaller
@@ -50,6 +51,7 @@ class Settings:
     degree: int = 24  # of the graph
     beam: int = 160
     block: int = 4096
+    queries: int = 8192  # in a task at once
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -186,10 +188,15 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, s: Settings = Sett
                 at = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)], names=["list", "part", "query_id", "q"])
 
-    routed = queries.mapInArrow(route, "list int, part int, query_id long, q array<double>")
+    blocks_of = max(1, -(-queries.count() // s.queries))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks_of)).cast("int").alias("block")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks_of - 1))).alias("block")
+    routed = queries.mapInArrow(route, "list int, part int, query_id long, q array<double>").select("*", block)
     parts = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("count") / s.block)).cast("int")
-    dealt = postings.join(F.broadcast(postings.groupBy("list").count()), "list").withColumn("part", parts).select("list", "part", "vec_id", "v")
-    found = routed.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    dealt = postings.join(F.broadcast(postings.groupBy("list").count()), "list").withColumn("part", parts).select("list", "part", "vec_id", "v", every_block)
+    cell = ["list", "part", "block"]
+    found = routed.groupBy(cell).cogroup(dealt.groupBy(cell)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    found = written(found, "found")  # read by the ranking and by the search for short queries
     best = _ranked(found, k)
     # queries whose lists held fewer than k: all rows, in blocks
     missing = queries.join(best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id"), queries.vec_id == F.col("query_id"), "left_anti")
@@ -197,12 +204,24 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, s: Settings = Sett
     if missing.isEmpty():
         return best
     parts = max(1, -(-rows.count() // s.block))
-    every_part = missing.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    blocks = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    full = every_part.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    every_part = missing.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")).select("*", block)
+    blocks = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), every_block)
+    full = every_part.groupBy("part", "block").cogroup(blocks.groupBy("part", "block")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     return _ranked(found.unionByName(full), k)
 
 
+def distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to q; those whose squares leave the range of doubles are scaled first."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        apart = v - q
+        d = np.sqrt((apart**2).sum(axis=1))
+        for i in np.flatnonzero(~np.isfinite(d) | (d < 1e-150)):
+            most = np.abs(apart[i]).max()
+            if np.isfinite(most) and most > 0:
+                d[i] = most * np.sqrt(((apart[i] / most) ** 2).sum())
+    return d
+
+
 def _nearest(k: int):
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -210,10 +229,9 @@ def _nearest(k: int):
             q, ids, order = np.stack(left["q"].to_numpy()), left["query_id"].to_numpy(), np.argsort(right["vec_id"].to_numpy())
             v, other = np.stack(right["v"].to_numpy())[order], right["vec_id"].to_numpy()[order]
             for i in range(len(q)):
-                d = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-                d[other == ids[i]] = np.inf
+                d = distances(v, q[i])
                 few = np.argsort(d, kind="stable")[: k + 1]
-                out += [(ids[i], other[j], d[j]) for j in few[np.isfinite(d[few])][:k]]
+                out += [(ids[i], other[j], d[j]) for j in few[other[few] != ids[i]][:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return nearest

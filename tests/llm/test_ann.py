@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from candor.llm.ann import Graph, Settings, _squares, fit_centroids, search
+from candor.llm.ann import Graph, Settings, _squares, distances, fit_centroids, search
 
 SCHEMA = "rank int, vec_id long, embedding array<float>"
 
@@ -28,9 +29,11 @@ def recall(mine, want):
     return sum(len({i for i, _ in mine[q]} & {i for i, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
 
 
-def test_recall_on_the_large_table(spark):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").collect()]
-    want, mine = brute(rows), got(search(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")))
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_against_brute_force(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    want, mine = brute(rows), got(search(table))
     assert mine.keys() == want.keys() and all(len(v) == 10 for v in mine.values())
     exact = {q: dict(w) for q, w in want.items()}
     assert all(abs(d - exact[q][i]) < 1e-12 for q, v in mine.items() for i, d in v if i in exact[q])
@@ -70,3 +73,12 @@ def test_lists_read_grow_with_the_table(spark):
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
     df = spark.createDataFrame([(1, i, v) for i, v in rows], SCHEMA)
     assert recall(got(search(df, s=Settings(per_list=8, most_lists=4))), brute(rows)) >= 0.9
+
+
+def test_large_components_and_blocks_of_queries(spark):
+    rows = [(0, [1e200, 0.0]), (100, [-1e200, 0.0]), (200, [1e-200, 1.0]), (300, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine = got(search(df, s=Settings(queries=1)))
+    assert {q: len(v) for q, v in mine.items()} == {0: 3, 100: 3, 200: 3, 300: 3}
+    assert dict(mine[0])[100] == 2e200 and mine[200][0] == (300, 1e-200)
+    assert distances(np.array([[3e-200, 4e-200], [0.0, 0.0]]), np.zeros(2)).tolist() == [5e-200, 0.0]
