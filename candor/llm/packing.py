@@ -3,8 +3,10 @@
 A piece needs its tokens, one document slot and its attention cost (tokens squared). All three follow from its
 length, so pieces of one length are alike: the plan is made from the number of pieces of each length, a table of at
 most `size` rows, by best-fit decreasing over classes of equal bins. A bin must have room in every dimension; among
-those that have, the one with the largest weighted dot product of need and load (or the smallest residual norm) gets
-the piece. Pieces are then numbered within their length by a salted two-level count and look their bin up in the plan.
+those that have, the one with the smallest weighted dot product of need and residual capacities (or the smallest norm
+of what the piece would leave) gets the piece. Pieces are then numbered within their length by a salted two-level count
+and look their bin up in the plan. Pieces that fill a sequence alone, most of a large corpus of long texts, need
+neither plan nor number: each gets a sequence of its own (a negative number) where it stands.
 
 Defined results: a null or empty text is one piece holding the end token alone; rows repeated under one doc_id are
 packed each on its own; a text of any length is cut into pieces of `size` tokens, the last one shorter; an empty
@@ -13,6 +15,7 @@ table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -75,10 +78,25 @@ class _Remembered(dict):
         return found
 
 
+# The rules of the tokenizer whose words can be remembered.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _words_apart(rules: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, finds words by that pattern and codes each on its own."""
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    splits = [s for s in steps if s.get("type") == "Split"]
+    coded = [s for s in steps if s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex")]
+    pattern = len(splits) == len(coded) == 1 and len(steps) == 2 and splits[0]["pattern"] == {"Regex": _WORD_PATTERN} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+    return pattern and rules["normalizer"] == _NORMALIZER and rules["post_processor"] is None and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that lower-cases, drops white space and finds words by _PLAIN_WORDS' pattern for
-    all of Unicode. Ids are remembered: of what stands between white space, and of the words in it. Texts that aren't
-    plain are cut at spaces and newlines only, and each part goes through the whole tokenizer."""
+    """Ids of texts by a tokenizer. If it lower-cases, drops white space and finds words by _PLAIN_WORDS' pattern for
+    all of Unicode, ids are remembered: of what stands between white space, and of the words in it. Texts that aren't
+    plain are then cut at spaces and newlines only, and each part goes through the whole tokenizer. With other rules
+    whole texts do."""
 
     def __init__(self, path: str):
         import os
@@ -87,7 +105,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model = tokenizer.model
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        model, self.apart, self.tokenizer = tokenizer.model, _words_apart(json.loads(tokenizer.to_str())), tokenizer
         packed = lambda ids: np.array(ids, dtype="<u4").tobytes()
         self.words = _Remembered(lambda w: packed([t.id for t in model.tokenize(w.translate(_AS_BYTES))]))
         self.plain = _Remembered(lambda part: b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(part))))
@@ -95,6 +115,8 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self.apart:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         for held in (self.words, self.plain, self.other):
             if len(held) > REMEMBERED:
                 held.clear()
@@ -175,7 +197,8 @@ def plan(counts: dict[int, int], capacity: Capacity, weights: tuple[float, float
 
         fits = np.flatnonzero(((loads + need) <= full).all(axis=1)) if len(loads) else np.zeros(0, dtype=np.int64)
         room = (full - loads[fits]).astype(float)
-        rank = -((loads[fits] * need) * scale).sum(axis=1) if by == "dot" else (((room - need) ** 2) * scale).sum(axis=1)
+        # best-fit: the bin whose residual capacities have the smallest weighted product with the need, or leave the smallest norm
+        rank = ((room * need) * scale).sum(axis=1) if by == "dot" else (((room - need) ** 2) * scale).sum(axis=1)
         for c in fits[np.argsort(rank, kind="stable")]:
             if not left:
                 break
@@ -201,6 +224,11 @@ def plan(counts: dict[int, int], capacity: Capacity, weights: tuple[float, float
 def pack(made: DataFrame, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 1.0, 1.0), by: str = "dot", salts: int = SALTS) -> DataFrame:
     """made(doc_id, piece, start, length, ...) with sequence_id and offset. `made` is read three times: write it first."""
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
+    alone = None
+    if (np.array([capacity.tokens, 1, capacity.tokens**2], dtype=np.int64) <= capacity.vector()).all():
+        full = F.col("length") == capacity.tokens
+        alone = made.where(full).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+        made = made.where(~full)
     made = made.withColumn("_salt", salt)
     sums = made.groupBy("length", "_salt").count().collect()  # at most capacity.tokens * salts rows
     counts: dict[int, int] = {}
@@ -230,7 +258,8 @@ def pack(made: DataFrame, capacity: Capacity = Capacity(), weights: tuple[float,
 
     numbered = made.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")))
     kept = [f for f in numbered.schema.fields if f.name not in ("_salt", "_nth")]
-    return numbered.mapInArrow(look_up, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long")
+    planned = numbered.mapInArrow(look_up, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long")
+    return planned if alone is None else planned.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: Capacity = Capacity(), **how) -> DataFrame:
