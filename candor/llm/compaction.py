@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.shared import shared_folder
+from candor.llm.shared import shared_folder, unused
 
 
 @dataclass(frozen=True)
@@ -128,15 +128,20 @@ class ShardStore:
     def tier(self, shard: Shard) -> int:
         return max(0, int(math.log(max(shard.bytes, 1), self.fan)))
 
+    def _files(self, run: list[Shard]) -> int:
+        """Files of the shard that a run becomes."""
+        return max(1, round(sum(s.bytes for s in run) / self.target))
+
     def _run(self, shards: list[Shard]) -> list[Shard]:
-        """The first run, in order of arrival, of `fan` or more neighbours of one tier that aren't of full files."""
+        """The first run, in order of arrival, of `fan` or more neighbours of one tier that aren't of full files and
+        that become fewer files by a merge."""
         run: list[Shard] = []
         for s in [*sorted(shards, key=lambda s: s.sequence), None]:
             small = s is not None and s.bytes < self.target * s.files * 0.75
             if small and run and self.tier(s) == self.tier(run[0]):
                 run.append(s)
                 continue
-            if len(run) >= self.fan:
+            if len(run) >= self.fan and self._files(run) < sum(s.files for s in run):
                 return run
             run = [s] if small else []
         return []
@@ -146,11 +151,8 @@ class ShardStore:
         merges = 0
         while run := self._run(self.shards()):
             _, _, schema = self._manifest()
-            files = max(1, round(sum(s.bytes for s in run) / self.target))
-            if files >= sum(s.files for s in run):
-                break
             name = f"m{uuid.uuid4().hex}"
-            self._read(run, schema).coalesce(files).write.parquet(f"{self.root}/shards/{name}")
+            self._read(run, schema).coalesce(self._files(run)).write.parquet(f"{self.root}/shards/{name}")
             merged = self._measured(name, min(s.sequence for s in run), 1 + max(s.level for s in run))
 
             def swap(old: list[Shard], run=run, merged=merged) -> list[Shard]:
@@ -193,7 +195,8 @@ def compacted_documents(docs: DataFrame, arrivals: int = 16, target: int = 32 <<
     """Documents after they have arrived in parts, been merged and been read back under the last manifest:
     doc_id, lang, source, n_chars, text_sha256."""
     store = ShardStore(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}", target, fan)
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by="_arrival")
+    arrival = unused(docs, "arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by=arrival)
     store.compact()
     store.vacuum()
     held = store.read()
