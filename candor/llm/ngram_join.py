@@ -15,7 +15,8 @@ searched on its own, so no task holds an unbounded group.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing (n 0, component: their own
 id); a text of fewer words than `size` is one n-gram, its whole sequence; equal texts are linked; rows without a doc_id
-take no part; of rows that share a doc_id, each keeps its row, and they share that id; an empty table gives an empty
+take no part; of rows that share a doc_id, each keeps its row, they share that id, and dedup() keeps or drops them
+together; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from candor.llm import hashing as H
 from candor.llm import sketch as S
 from candor.llm.components import connected_components
-from candor.llm.shared import written
+from candor.llm.shared import without, written
 
 #: Sets at a hub that one task searches at once, and n-grams in them.
 BLOCK, BLOCK_GRAMS = 2048, 4 << 20
@@ -296,8 +297,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = B
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a smaller doc_id of their component stands for."""
-    gone = components(docs, size, percent).where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, components(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")))
 
 
 ORACLE_SQL = r"""

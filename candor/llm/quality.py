@@ -5,8 +5,9 @@ case and punctuation) and by a few shares (letters, capitals, digits, punctuatio
 layer. Gated attention, tanh(Vh) * sigmoid(Uh), weights the passages; labels are known for documents only, and the
 weighted sum of passages is what a logistic output scores. All layers are learned together by gradient descent.
 
-The network is fitted in one task to a sample of at most about `sample` labelled documents (whole texts). Scoring reads
-whole texts, in Arrow batches, without a shuffle.
+The network is fitted in one task to a sample of at most about `sample` labelled documents, of which it sees LEARNED
+passages at most, evenly spread. Scoring reads whole texts, in Arrow batches, without a shuffle; of a long text it
+encodes a part of whole passages at a time, and holds a few numbers for each passage.
 
 Defined results: a null, empty or blank text is one empty passage and has a score like any other; without labelled rows
 every score is 0.5; labels without a document or without a quality are ignored; a document with several labels is
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from candor.llm import hashing as H
 from candor.llm.folds import held_out, sampled
 
+#: Passages of a labelled document to learn from at most, spread over the whole of it.
+LEARNED = 128
 #: Words of a passage, hash buckets, labelled documents to learn from, units of the encoder and of the attention.
 PASSAGE, BUCKETS, SAMPLE, UNITS, GATES = 100, 1 << 10, 3000, 24, 16
 SHARES = 8
@@ -71,6 +74,22 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams, shares.astype(np.float32)], axis=1), per_text
 
 
+def passage_parts(text: bytes, most: int = H.CHUNK_BYTES) -> Iterator[bytes]:
+    """A text in parts of whole passages of about `most` bytes; its last part may end in a shorter one."""
+    at = 0
+    while len(text) - at > most:
+        wide, cut = most, 0
+        while not cut and at + wide < len(text):
+            start = H.Words([text[at : at + wide]]).start
+            cut = int(start[(len(start) - 1) // PASSAGE * PASSAGE]) if len(start) > PASSAGE else 0
+            wide *= 2
+        if not cut:
+            break
+        yield text[at : at + cut]
+        at += cut
+    yield text[at:]
+
+
 class Network:
     """Encoder, gated attention and output; bags are passages in a row, with their sizes."""
 
@@ -78,10 +97,15 @@ class Network:
         init = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
         self.w = {"E": init(BUCKETS + SHARES, UNITS), "e": np.zeros(UNITS, np.float32), "V": init(UNITS, GATES), "U": init(UNITS, GATES), "a": init(GATES, 1), "c": init(UNITS, 1), "b": np.zeros(1, np.float32)}
 
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.w["E"] + self.w["e"])
+
     def forward(self, x: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+        return self.pooled(self.hidden(x), sizes)
+
+    def pooled(self, h: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         w, start = self.w, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         bag = np.repeat(np.arange(len(sizes)), sizes)
-        h = np.tanh(x @ w["E"] + w["e"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         raw = ((t * s) @ w["a"])[:, 0]
         up = np.exp(raw - np.maximum.reduceat(raw, start)[bag])
@@ -117,6 +141,14 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray | No
     return net
 
 
+def learned_passages(text: bytes) -> np.ndarray:
+    """Features of at most LEARNED passages, evenly spread."""
+    parts = [encode_passages([p])[0].astype(np.float16) for p in passage_parts(text)]
+    n = sum(map(len, parts))
+    chosen = np.unique(np.linspace(0, n - 1, min(n, LEARNED)).round().astype(np.int64))
+    return np.concatenate(parts)[chosen].astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     chosen = sampled(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out()), "quality", sample)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
@@ -124,9 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in H.text_slices(batch):
-                x, sizes = encode_passages(texts)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                rows = [x[cuts[k] : cuts[k + 1]].astype(np.float16).tobytes() for k in range(len(texts))]
+                rows = [learned_passages(t).astype(np.float16).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("quality").slice(a, len(texts)), pa.array(rows, pa.binary())], names=["quality", "x"])
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -150,8 +180,13 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
                 n = len(texts)
                 p, top, weight = np.full(n, 0.5), np.zeros(n, dtype=np.int32), np.zeros(n)
                 if net:
-                    x, sizes = encode_passages(texts)
-                    f = net.forward(x, sizes)
+                    if n == 1:
+                        h = np.concatenate([net.hidden(encode_passages([part])[0]) for part in passage_parts(texts[0])])
+                        sizes = np.array([len(h)])
+                    else:
+                        x, sizes = encode_passages(texts)
+                        h = net.hidden(x)
+                    f = net.pooled(h, sizes)
                     p = f["p"].astype(np.float64)
                     for k, s in enumerate(f["start"]):
                         own = f["attention"][s : s + sizes[k]]

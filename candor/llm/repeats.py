@@ -10,7 +10,8 @@ maximal, and all members of the (sub)interval are its occurrences. All but the f
 
 A hash that the sketch counts `heavy` times or more isn't gathered in a task: windows around such anchors are
 compared by 128 bits of independent content hashes in an aggregation with partial sums, and an equi-join. So no task's group exceeds
-`heavy` rows, and nothing is dropped.
+`heavy` rows, and nothing is dropped. Where anchors are too many for a sketch (sketch.too_many), their hashes are
+shuffled and counted; the result is the same.
 
 Defined results: null and empty texts have no bytes; repeats never cross documents; a repeat inside one document
 counts; earlier means smaller doc_id, then smaller start; rows without a doc_id take no part; documents are expected
@@ -49,13 +50,45 @@ def _anchors(texts: list[bytes], size: int, k: int) -> tuple[np.ndarray, np.ndar
     return data, starts, grams, np.where(inside, own, -1)
 
 
-def anchor_sketch(docs: DataFrame, size: int, k: int, heavy: int, bits: int | None = None) -> S.Sketch:
+def anchor_sketch(docs: DataFrame, size: int, k: int, heavy: int, bits: int | None = None) -> S.Sketch | None:
+    """None where anchors are too many for one."""
+
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, texts in H.text_slices(batch):
             _, _, grams, own = _anchors(texts, size, k)
             yield grams[np.unique(own[own >= 0])]
 
-    return S.build(docs.select("text"), keys, bits or S.width_for(S.total_bytes(docs) * 2 / (size - k + 2)), heavy)
+    expected = S.total_bytes(docs) * 2 / (size - k + 2)
+    if not bits and S.too_many(expected):
+        return None
+    return S.build(docs.select("text"), keys, bits or S.width_for(expected), heavy)
+
+
+def _chosen(docs: DataFrame, size: int, k: int, heavy: int, bits: int | None) -> tuple[DataFrame, S.Sketch | None]:
+    """docs and the sketch of their anchors; or docs with the places of repeated and of heavy ones, written as they are
+    read twice, and None."""
+
+    def places(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, starts, grams, own = _anchors(texts, size, k)
+        chosen = np.unique(own[own >= 0])
+        cuts = np.searchsorted(chosen, starts)
+        for t in range(len(texts)):
+            at = chosen[cuts[t] : cuts[t + 1]]
+            yield at - starts[t], grams[at]
+
+    sketch = anchor_sketch(docs, size, k, heavy, bits)
+    if sketch is None:
+        return written(S.marked(docs, places, heavy), "marked"), None
+    return docs.select("doc_id", "text"), sketch
+
+
+def _known(shared, batch: pa.RecordBatch, a: int, n: int, starts: np.ndarray, grams: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of anchors at pos: which may be repeated, and which are heavy."""
+    sketch = shared.value
+    if sketch is not None:
+        h = grams[pos]
+        return sketch.repeated(h), sketch.is_heavy(h)
+    return tuple(S.flags(batch.column(c).slice(a, n), starts, int(starts[-1]) + 1)[pos] for c in ("marks", "heavy"))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -67,16 +100,15 @@ def _contexts(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
     """(h, around, after, before, doc_id, pos): anchors that may repeat and aren't heavy, with the bytes around them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         right, left = np.arange(size), -1 - np.arange(size - k)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, texts in H.text_slices(batch):
                 data, starts, grams, own = _anchors(texts, size, k)
                 pos = np.unique(own[own >= 0])
+                repeated, heavy = _known(shared, batch, a, len(texts), starts, grams, pos)
+                pos = pos[repeated & ~heavy]
                 h = grams[pos]
-                keep = known.repeated(h) & ~known.is_heavy(h)
-                pos, h = pos[keep], h[keep]
                 if not len(pos):
                     continue
                 doc = np.searchsorted(starts, pos, side="right") - 1
@@ -88,7 +120,7 @@ def _contexts(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
                     names=["h", "around", "after", "before", "doc_id", "pos"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "h long, around binary, after short, before short, doc_id long, pos int")
+    return docs.mapInArrow(scan, "h long, around binary, after short, before short, doc_id long, pos int")
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
@@ -205,7 +237,6 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
     """(doc_id, lo, hi) of repeated windows around heavy anchors."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         kept: list[list[np.ndarray]] = [[], [], [], []]
         held = 0
         for batch in batches:
@@ -214,7 +245,7 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
                 data, starts, grams, own = _anchors(texts, size, k)
                 at = np.flatnonzero(own >= 0)
                 used, back = np.unique(own[at], return_inverse=True)
-                at = at[known.is_heavy(grams[used])[back]]
+                at = at[_known(shared, batch, a, len(texts), starts, grams, used)[1][back]]
                 if len(at):
                     doc, eight = np.searchsorted(starts, at, side="right") - 1, H.lanes(data)
                     columns = (*(H.content_hash(data, eight, at, np.int64(size), chain) for chain in (0, 1)), doc_ids[a + doc], at - starts[doc])
@@ -246,7 +277,7 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
             yield from _batches(ranges, spread, spread, doc[first], pos[first], pos[last] + size)
 
     # read twice: by the aggregation and by the join
-    windows = written(docs.select("doc_id", "text").mapInArrow(scan, "wh long, h long, doc_id long, lo long, hi long"), "windows")
+    windows = written(docs.mapInArrow(scan, "wh long, h long, doc_id long, lo long, hi long"), "windows")
     least = windows.where("hi = 0").groupBy(F.col("wh").alias("wh1"), F.col("h").alias("h1")).agg(F.min(F.struct("doc_id", "lo")).alias("least"), F.count("*").alias("n")).where("n > 1")
     found = windows.join(least, (windows.wh == least.wh1) & (windows.h == least.h1), "left").where("hi > 0 or struct(doc_id, lo) > least")
     return found.select("doc_id", "lo", F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.col("lo") + size).alias("hi"))
@@ -261,7 +292,8 @@ def repeat_groups(docs: DataFrame, size: int = 100, k: int = ANCHOR, bits: int |
     """(repeat, doc_id, lo, hi, first): the maximal repeats around each anchor, cut to `size` bytes after the anchor
     and size - k before it, with all their occurrences."""
     docs = docs.where("doc_id is not null")
-    found = _groups(docs, size, k, docs.sparkSession.sparkContext.broadcast(anchor_sketch(docs, size, k, 0, bits)), listed=True).distinct()
+    docs, sketch = _chosen(docs, size, k, 0, bits)
+    found = _groups(docs, size, k, docs.sparkSession.sparkContext.broadcast(sketch), listed=True).distinct()
     # an anchor that only some occurrences have chosen lists those; the repeat's own anchor lists all
     least = found.groupBy("repeat").agg(F.min(F.struct("doc_id", "lo")).alias("least"))
     return found.join(least, "repeat").select("repeat", "doc_id", "lo", "hi", F.expr("struct(doc_id, lo) = least").alias("first"))
@@ -270,10 +302,10 @@ def repeat_groups(docs: DataFrame, size: int = 100, k: int = ANCHOR, bits: int |
 def repeated_ranges(docs: DataFrame, size: int = 100, k: int = ANCHOR, heavy: int = HEAVY, bits: int | None = None) -> DataFrame:
     """(doc_id, ranges): byte ranges, which may overlap, covered by repeats that also start earlier."""
     docs = docs.where("doc_id is not null")
-    sketch = anchor_sketch(docs, size, k, heavy, bits)
+    docs, sketch = _chosen(docs, size, k, heavy, bits)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     found = _groups(docs, size, k, shared, listed=False)
-    if sketch.many is not None and sketch.many.any():
+    if sketch is None or (sketch.many is not None and sketch.many.any()):
         found = found.unionByName(_heavy_ranges(docs, size, k, shared))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 

@@ -3,8 +3,8 @@
 A window is `size` consecutive words of one document. Pass one counts, in one sketch per task, the sub-window
 that each window chooses (its smallest hash, so that equal windows choose the same place); the merged sketch
 overestimates how often a window occurs. Pass two emits only windows whose sub-window may be repeated and groups
-them exactly: by two independent hashes of 64 bits over the contents of their words. No repeated window is lost. When
-the sketch is too small for a corpus it lets more windows pass; the result stays the same.
+them exactly: by two independent hashes of 64 bits over the contents of their words. No repeated window is lost. Where
+sub-windows are too many for a sketch (sketch.too_many), their hashes are shuffled and counted; the result is the same.
 
 Defined results: a null or blank text has no words and loses none; a text of fewer than `size` words loses none;
 of rows that share a doc_id, each loses what a smaller id holds at the places found for that id, and windows of
@@ -38,23 +38,43 @@ def _candidates(texts: list[bytes], size: int, sub: int) -> tuple[H.Words, np.nd
     return words, grams, np.where(whole, own[: len(whole)], -1) if len(whole) else np.zeros(0, np.int64)
 
 
-def window_sketch(docs: DataFrame, size: int, sub: int, bits: int | None = None) -> S.Sketch:
+def window_sketch(docs: DataFrame, size: int, sub: int, bits: int | None = None) -> S.Sketch | None:
+    """None where sub-windows are too many for one."""
+
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, texts in H.text_slices(batch):
             _, grams, own = _candidates(texts, size, sub)
             yield grams[np.unique(own[own >= 0])]
 
     # about one sub-window is chosen in every (size - sub + 2) / 2 words of some six bytes
-    return S.build(docs.select("text"), keys, bits or S.width_for(S.total_bytes(docs) / 6 * 2 / (size - sub + 2)))
+    expected = S.total_bytes(docs) / 6 * 2 / (size - sub + 2)
+    if not bits and S.too_many(expected):
+        return None
+    return S.build(docs.select("text"), keys, bits or S.width_for(expected))
+
+
+def marked_windows(docs: DataFrame, size: int, sub: int) -> DataFrame:
+    """docs with the places of their chosen sub-windows that occur twice or more."""
+
+    def places(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, grams, own = _candidates(texts, size, sub)
+        chosen = np.unique(own[own >= 0])
+        cuts = np.searchsorted(chosen, words.first)
+        for k in range(len(texts)):
+            at = chosen[cuts[k] : cuts[k + 1]]
+            yield at - words.first[k], grams[at]
+
+    return S.marked(docs, places)
 
 
 _WINDOWS = pa.schema([("wh", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
 
 
-def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) -> DataFrame:
+def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch | None) -> DataFrame:
     """Rows (wh, other, doc_id, pos, len): windows that may be repeated, each once a task and pair of hashes (len 0: to
     be judged); and, with len > 0, runs of window starts that the task itself has found in a smaller document."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    docs = marked_windows(docs, size, sub).drop("heavy") if sketch is None else docs.select("doc_id", "text")
 
     def settled(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         wh, other, doc, pos = (np.concatenate(c) for c in found)
@@ -84,8 +104,11 @@ def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) ->
             for a, texts in H.text_slices(batch):
                 words, grams, own = _candidates(texts, size, sub)
                 at = np.flatnonzero(own >= 0)
-                used, back = np.unique(own[at], return_inverse=True)
-                at = at[known.repeated(grams[used])[back]]
+                if known is None:
+                    at = at[S.flags(batch.column("marks").slice(a, len(texts)), words.first, len(words.doc) + 1)[own[at]]]
+                else:
+                    used, back = np.unique(own[at], return_inverse=True)
+                    at = at[known.repeated(grams[used])[back]]
                 columns = (H.gram_hash(words.hash, size)[at], H.gram_hash(words.hashes(1), size)[at], doc_ids[a + words.doc[at]], (at - words.first[words.doc[at]]).astype(np.int32))
                 for column, x in zip(found, columns, strict=True):
                     column.append(x)
@@ -96,7 +119,7 @@ def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch) ->
         if held:
             yield from settled(found)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "wh long, other long, doc_id long, pos int, len int")
+    return docs.mapInArrow(scan, "wh long, other long, doc_id long, pos int, len int")
 
 
 def _batches(schema: pa.Schema, *columns: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:

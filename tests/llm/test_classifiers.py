@@ -102,3 +102,50 @@ def test_passages_cover_all_words():
     texts = [b"", b"  ", " ".join(random.choice("abc") * 3 for _ in range(250)).encode()]
     x, sizes = quality.encode_passages(texts)
     assert sizes.tolist() == [1, 1, 3] and len(x) == 5 and np.isfinite(x).all()
+
+
+def test_long_texts_are_encoded_in_parts_of_whole_passages():
+    text = b"  ".join(b"word%d" % (k % 900) for k in range(20_000))
+    parts = list(quality.passage_parts(text, 10_000))
+    assert b"".join(parts) == text and len(parts) > 5 and all(len(p.split()) % quality.PASSAGE == 0 for p in parts[:-1])
+    whole, (n,) = quality.encode_passages([text])
+    assert sum(quality.encode_passages([p])[1][0] for p in parts) == n == len(whole) == 200
+    assert len(quality.learned_passages(text)) == quality.LEARNED and list(quality.passage_parts(b"x" * 5000, 100)) == [b"x" * 5000]
+
+
+def test_decoding_and_scoring_against_plain_loops():
+    import math
+
+    rng = np.random.default_rng(2)
+    code = langid.codewords(4)
+    trust = rng.random(code.shape[1])
+    model = langid.Model(list("abcd"), code, rng.standard_normal((33, code.shape[1])).astype(np.float32), trust / trust.sum())
+    x = rng.random((5, 32)).astype(np.float32)
+    for row, got in zip(x, model.decode(x), strict=True):
+        losses = []
+        for word in code:
+            total = 0.0
+            for bit in range(len(word)):
+                margin = sum(float(row[f]) * float(model.weights[f, bit]) for f in range(32)) + float(model.weights[32, bit])
+                total += model.trust[bit] * math.log(1 + math.exp(-margin * float(word[bit])))
+            losses.append(total * len(word))
+        share = [math.exp(min(losses) - v) for v in losses]
+        assert np.allclose(got, [s / sum(share) for s in share], atol=1e-5)
+    net = quality.Network(rng)
+    x, sizes = rng.random((6, quality.BUCKETS + quality.SHARES)).astype(np.float32), np.array([1, 3, 2])
+    at = 0
+    for size, got in zip(sizes, net.forward(x, sizes)["p"], strict=True):
+        hidden, weights = [], []
+        for row in x[at : at + size]:
+            h = [math.tanh(float(row @ net.w["E"][:, u]) + float(net.w["e"][u])) for u in range(quality.UNITS)]
+            gate = 0.0
+            for g in range(quality.GATES):
+                up = sum(h[u] * float(net.w["V"][u, g]) for u in range(quality.UNITS))
+                open_ = sum(h[u] * float(net.w["U"][u, g]) for u in range(quality.UNITS))
+                gate += math.tanh(up) / (1 + math.exp(-open_)) * float(net.w["a"][g, 0])
+            hidden.append(h)
+            weights.append(math.exp(gate))
+        bag = [sum(w * h[u] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for u in range(quality.UNITS)]
+        out = sum(bag[u] * float(net.w["c"][u, 0]) for u in range(quality.UNITS)) + float(net.w["b"][0])
+        assert abs(got - 1 / (1 + math.exp(-out))) < 1e-4
+        at += size

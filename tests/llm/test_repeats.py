@@ -96,3 +96,11 @@ def test_heavy_windows_of_equal_polynomial_hashes(spark):
     df = spark.createDataFrame([(1, head + a), (2, head + other), (3, head + a)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, size=len(head) + 1024, k=24, heavy=2).collect()}
     assert got == {1: 0, 2: 0, 3: len(head) + 1024}
+
+
+@pytest.mark.parametrize("heavy", [32768, 3])
+def test_counting_hashes_gives_what_a_sketch_gives(spark, monkeypatch, sf_dir, heavy):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 120")
+    want = sorted(remove_repeats(docs, heavy=heavy).collect())
+    monkeypatch.setattr("candor.llm.sketch.MOST_BITS", 3)
+    assert sorted(remove_repeats(docs, heavy=heavy).collect()) == want and any(r["n_removed"] for r in want)

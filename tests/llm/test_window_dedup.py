@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from candor.llm import window_dedup
 from candor.llm.window_dedup import dedup_windows
 
 SCHEMA = "extra int, doc_id long, text string, known long"
@@ -58,3 +59,19 @@ def test_windows_whose_polynomial_hashes_collide(spark):
     # words of 1024 bytes that differ in each byte, and an equal document
     df = spark.createDataFrame([(1, " ".join([a] * 50)), (2, " ".join([other] * 50)), (3, " ".join([a] * 50))], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in dedup_windows(df).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_counting_hashes_gives_what_a_sketch_gives(spark, monkeypatch, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(dedup_windows(docs, texts=False).collect())
+    monkeypatch.setattr("candor.llm.sketch.MOST_BITS", 3)
+    assert sorted(dedup_windows(docs, texts=False).collect()) == want and any(r["n_removed"] for r in want)
+
+
+def test_what_leaves_the_scan_is_bounded_beyond_the_largest_sketch(spark, monkeypatch):
+    """200,000 words of which one window is repeated: a sketch of 2**16 cells lets many through, counting only that."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(1000))) for k in range(200)] + [(900 + k, " ".join(f"same{i}" for i in range(60))) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr("candor.llm.sketch.MOST_BITS", 3)
+    assert window_dedup.window_sketch(docs, 50, 20) is None
+    assert window_dedup.candidate_windows(docs, 50, 20, None).count() <= 2 * 11
