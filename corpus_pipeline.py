@@ -1,7 +1,8 @@
 """A pipeline over documents: each stage calls one operator of candor.llm, works on all that the stage before kept,
 and hands on a table.
 
-1. language ID: documents whose language can't be told (no letter, or no text) go.
+1. language ID: documents that the classifier rejects go: those whose language can't be told (no letter, or no text)
+   or for which it finds two languages about equally likely.
 2. line dedup: lines that stand earlier, equal or within two edits, are cut; documents of which nothing is left go.
 3. n-gram Jaccard join: of documents linked by word 5-grams at a similarity of 0.8, the smallest doc_id stays.
 4. benchmark decontamination: documents that hold ten consecutive words of a benchmark item (or a shorter item whole) go.
@@ -27,7 +28,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return langid.keep_known(docs.select(COLUMNS))
+    return langid.keep_known(docs.select(COLUMNS), ambiguous=False)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
