@@ -161,52 +161,68 @@ def _plain(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-#: Buckets of a line's profile; more candidates than SOME are compared by profile first.
-PROFILE, SOME = 64, 8
+#: Numbers of 64 bits in a line's profile.
+PROFILE = 2
 
 
 def profiles(texts: list[bytes]) -> np.ndarray:
-    """Counts of each text's byte pairs, by bucket. An edit takes two away at most, and adds two at most."""
+    """For each of 64 * PROFILE buckets, whether a text has an odd number of byte pairs in it. An edit takes away two
+    pairs and adds two at most, so it changes four bits at most."""
     data, starts = H.concatenated(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    code = (data[:-1].astype(np.uint32) * np.uint32(257) + data[1:]) * np.uint32(2654435761) >> np.uint32(33 - PROFILE.bit_length())
+    code = (data[:-1].astype(np.uint32) * np.uint32(257) + data[1:]) * np.uint32(2654435761) >> np.uint32(33 - (64 * PROFILE).bit_length())
     inside = owner[1:] == owner[:-1]
-    return np.bincount(owner[:-1][inside] * PROFILE + code[inside], minlength=len(texts) * PROFILE).reshape(-1, PROFILE).astype(np.int32)
+    odd = np.bincount(owner[:-1][inside] * 64 * PROFILE + code[inside], minlength=len(texts) * 64 * PROFILE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, PROFILE)
+
+
+class _List:
+    """Numbers of lines, which grow in place."""
+
+    def __init__(self) -> None:
+        self.held, self.n = np.empty(4, dtype=np.int64), 0
+
+    def add(self, x: int) -> None:
+        if self.n == len(self.held):
+            self.held = np.concatenate([self.held, self.held])
+        self.held[self.n] = x
+        self.n += 1
 
 
 def repeated_in_block(lines: list[tuple[tuple, bytes, int]], edits: int, apart: bool = False) -> list[int]:
     """Of lines (place, text, chunk) with distinct texts, those with another of an earlier place within the distance.
 
-    apart: only lines of different chunks are compared. Of many candidates, those are verified whose profiles allow it.
+    apart: only lines of different chunks are compared. Candidates are verified whose profiles allow it.
     """
-    index: dict[tuple, list[int]] = {}
+    index: dict[tuple, _List] = {}
     ways, n = probes(edits), len(lines)
     order = np.empty(n, dtype=np.int64)
     order[sorted(range(n), key=lambda k: lines[k][0])] = np.arange(n)
-    chunk, gone, profile = np.array([c for _, _, c in lines]), np.zeros(n, dtype=bool), None
+    chunk, gone, profile = np.array([c for _, _, c in lines]), np.zeros(n, dtype=bool), profiles([t for _, t, _ in lines])
     for x in sorted(range(n), key=lambda k: len(lines[k][1])):
         text, met = lines[x][1], []
         for less, i, shift in ways:
             at, wide = segment(len(text) - less, i, edits)
             at += shift
             if at >= 0 and (found := index.get((len(text) - less, i, text[at : at + wide]))):
-                met.append(found)
+                met.append(found.held[: found.n])
         if met:
-            y = np.array(met[0]) if len(met) == 1 else np.unique(np.concatenate(met))
-            y = y[~gone[np.where(order[y] < order[x], x, y)]]
+            y = met[0]
+            if len(met) > 1:
+                candidate = np.zeros(n, dtype=bool)
+                for found in met:
+                    candidate[found] = True
+                y = np.flatnonzero(candidate)
+            y = y[np.bitwise_count(profile[y] ^ profile[x]).sum(axis=1) <= 4 * edits]
             if apart:
                 y = y[chunk[y] != chunk[x]]
-            if len(y) > SOME:
-                profile = profiles([t for _, t, _ in lines]) if profile is None else profile
-                apart_by = profile[y] - profile[x]
-                y = y[(np.maximum(apart_by, 0).sum(axis=1) <= 2 * edits) & (np.maximum(-apart_by, 0).sum(axis=1) <= 2 * edits)]
             for k in y.tolist():
                 late = x if order[k] < order[x] else k
                 if not gone[late] and within(text, lines[k][1], edits):
                     gone[late] = True
         for i in range(edits + 1):
             at, wide = segment(len(text), i, edits)
-            index.setdefault((len(text), i, text[at : at + wide]), []).append(x)
+            index.setdefault((len(text), i, text[at : at + wide]), _List()).add(x)
     return np.flatnonzero(gone).tolist()
 
 

@@ -11,7 +11,7 @@ from candor.llm import compaction, decontam, langid, line_dedup, ngram_join, pac
 from candor.llm.queries import tokenizer_path
 
 NAMES = ["a.b", "lines", "places", "arrival", "runs", "ranges", "key", "hub", "held_out", "score", "gone_id", "cut_id", "hit_id", "wh", "length", "least", "_lines", "_places", "_arrival", "_salt"]
-LONG = "\n".join(f"line {k} of a text that is long and says {k * k} each time" for k in range(25_000))
+LONG = "\n".join(f"{k} {hashlib.sha256(b'%d' % k).hexdigest()}" for k in range(15_000))
 COPY = "a copy of some words that stands here more than once so that the joins have something to find in this table"
 TEXTS = [(1, "en", COPY), (2, "en", None), (3, None, ""), (4, "de", " \n\t "), (5, "en", LONG), (6, "fr", COPY), (6, "fr", "another row of six"), (7, "en", "12 34"), (7, "en", "words under seven"), (8, "es", "x" * 300_000), (9, "en", COPY), (9, "en", COPY), (None, "en", "no id")]
 
