@@ -43,7 +43,7 @@ BLOCK, BLOCK_GRAMS = 2048, 4 << 20
 FREQUENT, LOCAL = 64, 4
 _FREQUENT_BITS = 20
 #: What a step of a merge costs, as a share of a look-up; sets how many lists are long.
-MU = 0.05
+MU = 0.0085
 
 
 def gram_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
