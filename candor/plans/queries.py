@@ -676,18 +676,19 @@ def _chosen_ann(rel: str, size: int, slide: int) -> str:
     return f"chosen AS (SELECT * FROM {rel} WHERE seq % 10 < 5), {_first(size, slide, 'chosen')}, {_annotated([_pairs(_band(), 'SC', origins='chosen')], out='chosen_ann')}, ann AS (SELECT key, seq, ts, cents, user_id, event_type, ann_degree_sum, ann_n_incons FROM chosen_ann UNION ALL SELECT key, seq, ts, cents, user_id, event_type, 0, 0 FROM {rel} WHERE seq % 10 >= 5)"
 
 
-_HALF = {"chosen": F.col("seq") % 10 < 5, "mode": "blocks", "variables": False}
+def _half() -> dict:
+    return {"chosen": F.col("seq") % 10 < 5, **DEGREES}
 
 
 @query(f"WITH {_TICKS}, {_chosen_ann('ev', 2 * HOUR, HOUR)}" + _COMBO + "SELECT left_seq, right_seq, ts, ann_degree_sum FROM c")
 def q14_partial_stock_combo(spark, sf_dir):
-    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_HALF))
+    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_half()))
     return Q.pairs_at_same_time(some, "name").df.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"), "ts", "ann_degree_sum")
 
 
 @query(f"WITH {_TICKS}, {_chosen_ann('ev', 2 * HOUR, HOUR)}" + _COMBO + f", {_hops('c', 24 * HOUR, 6 * HOUR)}, g AS (SELECT n1 || '|' || n2 AS key, win_start, {_SUMS}, CAST(sum(ann_degree_sum) AS BIGINT) AS ann_degree_sum FROM h GROUP BY ALL), t AS (SELECT *, {_DESC} AS rank FROM g) SELECT key, win_start, rank, n_couples, ann_degree_sum, round((CAST(n_couples AS DOUBLE) * sum_xy - CAST(sum_x AS DOUBLE) * sum_y) / sqrt((CAST(n_couples AS DOUBLE) * sum_x2 - CAST(sum_x AS DOUBLE) * sum_x) * (CAST(n_couples AS DOUBLE) * sum_y2 - CAST(sum_y AS DOUBLE) * sum_y)), 6) AS correlation FROM t WHERE rank <= 3")
 def q14_partial_stock_pearson(spark, sf_dir):
-    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_HALF))
+    some = AnnotatedFrame(A.annotate_some(_ticks(spark, sf_dir), SC, 2 * HOUR, HOUR, **_half()))
     out = Q.pearson_top(some, 24 * HOUR, 6 * HOUR, value="cents").withColumn("correlation", F.round(correlation(), 6))
     return out.select("key", "win_start", "rank", "n_couples", "ann_degree_sum", "correlation")
 
@@ -695,7 +696,7 @@ def q14_partial_stock_pearson(spark, sf_dir):
 @query(f"WITH {EV}, {_chosen_ann('ev', SIZE, SLIDE)} SELECT l.seq AS left_seq, r.seq AS right_seq, l.ann_degree_sum + r.ann_degree_sum AS ann_degree_sum FROM ann l JOIN ann r ON l.seq % 50 = r.seq % 50 AND l.event_type = r.event_type AND r.ts BETWEEN l.ts - {12 * HOUR} AND l.ts WHERE l.ann_degree_sum + r.ann_degree_sum > 1")
 def q14_partial_linear_road(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("segment", F.col("seq") % 50)
-    some = AnnotatedFrame(A.annotate_some(df, SC, SIZE, SLIDE, **_HALF)).with_key("segment")
+    some = AnnotatedFrame(A.annotate_some(df, SC, SIZE, SLIDE, **_half())).with_key("segment")
     pairs = some.join(some, 12 * HOUR, on=F.col("l.event_type") == F.col("r.event_type")).where_annotation(F.col("ann_degree_sum") > 1).df
     return pairs.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"), "ann_degree_sum")
 
