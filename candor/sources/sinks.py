@@ -35,16 +35,28 @@ def observed(df: DataFrame, name: str = "metrics") -> tuple[DataFrame, Observati
 
 
 class Usage:
-    """Memory (MB of heap) and CPU load (0 to 1) of the driver's JVM while a block runs, sampled in a thread."""
+    """Memory (MB of heap) and CPU load (of all cores, 0 to 1) of the driver's JVM while a block runs, sampled in a
+    thread; the load is read from /proc and 0 where there is none."""
 
     def __init__(self, spark: SparkSession, every_s: float = 0.2):
         jvm = spark._jvm
-        self._runtime, self._system = jvm.java.lang.Runtime.getRuntime(), jvm.java.lang.management.ManagementFactory.getOperatingSystemMXBean()
+        self._runtime, self._stat = jvm.java.lang.Runtime.getRuntime(), f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/stat"
         self._every, self._stop, self.memory, self.cpu = every_s, threading.Event(), [], []
+        self._last = self._seconds(), time.monotonic()
+
+    def _seconds(self) -> float:
+        """CPU seconds of the process so far: fields 14 and 15, counted behind the name in brackets."""
+        if not os.path.exists(self._stat):
+            return 0.0
+        with open(self._stat) as f:
+            fields = f.read().rpartition(")")[2].split()
+        return (int(fields[11]) + int(fields[12])) / os.sysconf("SC_CLK_TCK")
 
     def _sample(self) -> None:
         self.memory.append((self._runtime.totalMemory() - self._runtime.freeMemory()) / (1 << 20))
-        self.cpu.append(max(0.0, self._system.getProcessCpuLoad()))
+        now = self._seconds(), time.monotonic()
+        passed, self._last = (now[0] - self._last[0], now[1] - self._last[1]), now
+        self.cpu.append(min(1.0, passed[0] / max(passed[1], 1e-3) / (os.cpu_count() or 1)))
 
     def _watch(self) -> None:
         while not self._stop.wait(self._every):
