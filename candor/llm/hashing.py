@@ -32,6 +32,9 @@ _LOW = U64(0xFFFFFFFF)
 #: Bytes handled at once; one longer text makes one larger chunk.
 CHUNK_BYTES = 1 << 19
 
+#: Spans that are hashed together.
+SPANS = 1 << 16
+
 #: Rows of an Arrow batch that are turned into Python objects together.
 SLICE_ROWS = 256
 
@@ -90,6 +93,9 @@ def lanes(data: np.ndarray) -> np.ndarray:
 def content_hash(data: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray, chain: int = 0) -> np.ndarray:
     """Hash of the bytes data[start : start + size]; eight is lanes(data). Spans of one size of up to eight bytes never collide."""
     size = np.broadcast_to(size, start.shape)
+    if len(start) > SPANS:  # a long text has many, and each needs some eighty bytes here
+        cuts = range(0, len(start), SPANS)
+        return np.concatenate([content_hash(data, eight, start[i : i + SPANS], size[i : i + SPANS], chain) for i in cuts])
     keys = _KEYS[chain]
     out = mix((eight[start] & _HEADS[np.minimum(size, 8)]) ^ keys[0])
     live = np.flatnonzero((size > 8) & (size < LONG))

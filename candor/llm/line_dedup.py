@@ -267,7 +267,7 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool)
                 once = rows[H.distinct_pairs(h1, h2)]
                 keys.append(distinct_in_rows(lines.keys(once[lines.size[once] >= least], edits)[:, indexed(edits)]))
                 held += len(keys[-1]) + len(rows)
-                if held >= S.HELD:
+                if held >= S.HELD_ROWS:
                     yield from handed_on(found, keys)
                     found, keys, held = [[], [], [], []], [], 0
         if keys:

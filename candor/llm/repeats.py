@@ -252,7 +252,7 @@ def _heavy_ranges(docs: DataFrame, size: int, k: int, shared) -> DataFrame:
                     for column, found in zip(kept, columns, strict=True):
                         column.append(found)
                     held += len(at)
-                    if held >= S.HELD:
+                    if held >= S.HELD_ROWS:
                         yield from settled(kept)
                         kept, held = [[], [], [], []], 0
         if held:

@@ -29,8 +29,8 @@ ROWS = 2
 LEAST_BITS, MOST_BITS = 16, 27
 #: Blocks of a row.
 SPLIT = 6
-#: Keys, windows or lines that a task holds before it hands them on.
-HELD = 4_000_000
+#: Keys that a task holds before it hands them on, and windows or lines.
+HELD, HELD_ROWS = 4_000_000, 1_000_000
 _MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 

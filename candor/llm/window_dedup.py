@@ -113,7 +113,7 @@ def candidate_windows(docs: DataFrame, size: int, sub: int, sketch: S.Sketch | N
                 for column, x in zip(found, columns, strict=True):
                     column.append(x)
                 held += len(at)
-                if held >= S.HELD:
+                if held >= S.HELD_ROWS:
                     yield from settled(found)
                     found, held = [[], [], [], []], 0
         if held:
