@@ -341,8 +341,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     dealt = member.join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
     sent = dealt.select("h1", F.explode(places).alias("to"))
-    # of lines that share h1 alone, all go to the hubs of any
-    texts = candidates.select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("text"))
+    # of lines that share h1 alone, all go to the hubs of any; texts travel of lines that are at a hub only
+    wanted = candidates.select("h1", "h2", "line").join(member.select("h1").distinct(), "h1", "left_semi")
+    texts = wanted.groupBy("h1", "h2").agg(F.first("line").alias("text"))
     placed = earliest.select("h1", "h2", F.col("earliest").alias("at"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
