@@ -93,7 +93,12 @@ def _pairs(df: DataFrame, constraint: Constraint, size: int, slide: int, emit: s
     distance = constraint.distance(_fields("o"), _fields("r"))
     found = origins.alias("o").join(records.alias("r"), reduce(lambda a, b: a & b, [*on, *equal, _before(), distance != 0]))
     name = F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string"))
-    return found.select("r.key", "r.seq", "r.win_start", name.alias("var"), F.ceil(F.abs(distance)).alias("exponent"))
+    return found.select("r.key", "r.seq", "r.win_start", name.alias("var"), _exponent(distance).alias("exponent"))
+
+
+def _exponent(distance: Column) -> Column:
+    """At most 2**53, as in blocks mode, so that sums of a thousand stay whole."""
+    return F.least(F.ceil(F.abs(distance)), F.lit(1 << 53))
 
 
 def _merged(entries: Column) -> Column:
@@ -196,7 +201,7 @@ def annotate_by_self_join(df: DataFrame, constraint: Constraint, size: int) -> D
     product of the pairs' annotations."""
     pairs = df.alias("r").join(df.alias("o"), (F.col("o.key") == F.col("r.key")) & (F.floor(F.col("o.ts") / (size + 1)).between(F.floor(F.col("r.ts") / (size + 1)) - 1, F.floor(F.col("r.ts") / (size + 1)))) & F.col("o.ts").between(F.col("r.ts") - size, F.col("r.ts")) & ((F.col("o.ts") < F.col("r.ts")) | (F.col("o.seq") <= F.col("r.seq"))))
     distance = constraint.distance(_fields("o"), _fields("r"))
-    entry = F.when(distance != 0, F.struct(F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string")).alias("var"), F.ceil(F.abs(distance)).alias("exponent")))
+    entry = F.when(distance != 0, F.struct(F.concat(F.lit(constraint.name + "_"), F.col("o.ts").cast("string")).alias("var"), _exponent(distance).alias("exponent")))
     grouped = pairs.groupBy("r.key", "r.seq").agg(F.collect_list(entry).alias("entries"))
     return with_annotation(df.join(grouped.select("key", "seq", _merged(F.col("entries")).alias("_found")), ["key", "seq"], "left"), F.col("_found")).drop("_found")
 
