@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
@@ -333,10 +333,14 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     candidates = _candidates(docs, least, edits, index, context.broadcast(_probed(docs, least, edits, index, bits)))
 
     judged = first.where(F.col("kind") == JUDGED).select("doc_id", "line", "h1", "h2")
-    earliest = judged.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("earliest"))
+    # one exchange for all that asks which line is the first of its equals; of those, a task hands on one
+    equals = Window.partitionBy("h1", "h2").orderBy("doc_id", "line")
+    ranked = judged.select("*", F.row_number().over(equals).alias("nth"), F.first(F.struct("doc_id", "line")).over(equals).alias("earliest"))
+    earliest = ranked.where("nth = 1").select("h1", "h2", "earliest")
     keys = candidates.select("h1", F.explode("keys").alias("key"))
     hubs = keys.groupBy(F.col("key").alias("shared")).agg(F.min("h1").alias("hub"), F.max("h1").alias("most")).where("hub < most").drop("most")
-    member = written(keys.join(hubs, keys.key == hubs.shared).select("h1", "hub").distinct(), "members")
+    # hubs have no bound that would let them be broadcast
+    member = written(keys.join(hubs.hint("merge"), keys.key == hubs.shared).select("h1", "hub").distinct(), "members")
     chunked = member.groupBy("hub").count().where(F.col("count") > block).select("hub", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     dealt = member.join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
@@ -364,7 +368,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     blocks = sent.join(texts, "h1").join(placed, ["h1", "h2"]).select("to.*", "h1", "h2", "at.*", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     near = blocks.mapInArrow(search, "h1 long, h2 long").distinct()
 
-    late = judged.join(earliest, ["h1", "h2"]).where("struct(doc_id, line) > earliest").select("doc_id", "line")
+    late = ranked.where("nth > 1 and struct(doc_id, line) > earliest").select("doc_id", "line")
     close = earliest.join(near, ["h1", "h2"]).select("earliest.doc_id", "earliest.line")
     again = first.where(F.col("kind") == AGAIN).select("doc_id", "line")
     removed = late.unionByName(close).unionByName(again).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
