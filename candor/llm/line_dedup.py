@@ -339,14 +339,14 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     earliest = ranked.where("nth = 1").select("h1", "h2", "earliest")
     keys = candidates.select("h1", F.explode("keys").alias("key"))
     hubs = keys.groupBy(F.col("key").alias("shared")).agg(F.min("h1").alias("hub"), F.max("h1").alias("most")).where("hub < most").drop("most")
-    # hubs have no bound that would let them be broadcast
+    # hubs and their members have no bound that would let them be broadcast
     member = written(keys.join(hubs.hint("merge"), keys.key == hubs.shared).select("h1", "hub").distinct(), "members")
     chunked = member.groupBy("hub").count().where(F.col("count") > block).select("hub", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     dealt = member.join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
     sent = dealt.select("h1", F.explode(places).alias("to"))
     # of lines that share h1 alone, all go to the hubs of any; texts travel of lines that are at a hub only
-    wanted = candidates.select("h1", "h2", "line").join(member.select("h1").distinct(), "h1", "left_semi")
+    wanted = candidates.select("h1", "h2", "line").join(member.select("h1").distinct().hint("merge"), "h1", "left_semi")
     texts = wanted.groupBy("h1", "h2").agg(F.first("line").alias("text"))
     placed = earliest.select("h1", "h2", F.col("earliest").alias("at"))
 
