@@ -2,10 +2,12 @@
 
 Each document is the set of its word n-grams (64-bit hashes of content hashes of words). Equal sets are one node. To reach a similarity, two sets
 must share an n-gram among the first few of each, in an order that all tasks agree on: n-grams that a merged sketch
-marks as frequent come last. A second sketch counts the leading n-grams; a set of which too few may occur in another
-set's too is linked with none. The others' leading n-grams are gathered, apart for sizes that can't be linked; each
-list gets its smallest set as hub, and every set on the list is sent to that hub once, however many n-grams
-they share. So each pair that can reach the similarity meets at a hub, and no list is expanded into pairs.
+marks as frequent come last. The leading n-grams are written once, cut into slices by their hash so that the largest
+sketch can tell one slice's repeated n-grams from the others; a set of which too few in all slices may occur in another
+set's too is linked with none. The others' leading n-grams are gathered by one shuffle, apart for sizes that can't be
+linked; each list gets its smallest set as hub, and every set on the list is sent to that hub once, however many n-grams
+they share. So each pair that can reach the similarity meets at a hub, and no list is expanded into pairs. Only texts
+of sets at a hub are shuffled.
 
 At a hub the sets' inverted lists answer a T-occurrence query for each set. DivideSkip divides them: of L long lists and
 the short rest, a partner stands on T - L short ones at least. Those are merged with a heap, which counts occurrences
@@ -26,6 +28,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 from candor.llm import hashing as H
 from candor.llm import sketch as S
 from candor.llm.components import connected_components
-from candor.llm.shared import without, written
+from candor.llm.shared import dropped, without, written
 
 #: Sets at a hub that one task searches at once, and n-grams in them.
 BLOCK, BLOCK_GRAMS = 2048, 4 << 20
 #: n-grams counted so often come last in the order, and so often in a task to be counted at all.
 FREQUENT, LOCAL = 64, 4
 _FREQUENT_BITS = 20
+#: Of the hashes of leading n-grams, the bytes that are kept, and rows of them that meet at once.
+KEY_BYTES, MEET_ROWS = 5, 1 << 18
 #: What a step of a merge costs, as a share of a look-up; sets how many lists are long.
 MU = 0.0085
 
@@ -113,45 +118,151 @@ def _base(docs: DataFrame, size: int) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, d1 long, d2 long, place int, cells binary"), "sets")
 
 
-def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -> DataFrame:
-    """(d1, n, hub): the hubs to which each set goes."""
-    context = docs.sparkSession.sparkContext
-    order = context.broadcast(frequent)
+def pack(grams: np.ndarray) -> bytes:
+    """The upper KEY_BYTES of each hash."""
+    return (grams >> np.uint64(64 - 8 * KEY_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, texts in H.text_slices(batch):
-            yield np.concatenate([leading(g, percent, order.value) for g in gram_sets(texts, size)])
 
-    # some six bytes a word, so many of its n-grams lead
-    repeated = context.broadcast(S.build(docs.select("text"), keys, S.width_for(S.total_bytes(docs) / 6 * 2 * (100 - percent) / 100)))
+def unpack(bodies: list[bytes]) -> np.ndarray:
+    """What pack() made of several sets, one behind the other, as numbers."""
+    held = np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(held), 8), dtype=np.uint8)
+    out[:, :KEY_BYTES] = held
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _leads(docs: DataFrame, size: int, percent: int, frequent: S.Sketch, slices: int) -> DataFrame:
+    """(slice, d1, n, need, first, more): each set's leading n-grams of a slice of all, those of its prefix apart, and how
+    many leading ones of all slices a linked set shares at least. Sets that a task meets again are left out."""
+    order = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, texts in H.text_slices(batch):
-                tokens, sets, sizes = [], [], []
+                rows = []
                 for grams in gram_sets(texts, size):
                     n = len(grams)
-                    if not n:
-                        continue
-                    lead = leading(grams, percent, order.value)
-                    maybe = repeated.value.repeated(lead)
-                    if maybe.sum() < least_shared(n, percent) or (d1 := _digest(grams)[0]) in seen:
+                    if not n or (d1 := _digest(grams)[0]) in seen:
                         continue
                     seen.add(d1)
-                    first = prefix_length(n, percent)
-                    chosen = lead[:first][maybe[:first]]
-                    # each list takes sets of two neighbouring classes of sizes
-                    for c in (size_class(n, percent), size_class(n, percent) + 1):
-                        tokens.append(H.mix(chosen ^ np.uint64(c)))
-                        sets.append(np.full(len(chosen), d1, np.int64))
-                        sizes.append(np.full(len(chosen), n, np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(H.signed(np.concatenate(tokens))), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], names=["token", "d1", "n"])
+                    lead, first = leading(grams, percent, order.value), prefix_length(n, percent)
+                    of = lead >> np.uint64(64 - 8 * KEY_BYTES)
+                    of %= np.uint64(slices)
+                    for s in range(slices):
+                        mine = of == np.uint64(s)
+                        if mine.any():
+                            rows.append((s, d1, n, least_shared(n, percent), pack(lead[:first][mine[:first]]), pack(lead[first:][mine[first:]])))
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slice", "d1", "n", "need", "first", "more"])
+
+    return written(docs.select("text").mapInArrow(scan, "slice int, d1 long, n int, need int, first binary, more binary"), "leads", by="slice" if slices > 1 else None)
+
+
+def _repeated(leads: DataFrame, bits: int, whole: bool) -> DataFrame:
+    """(d1, n, need, hits, chosen) of one slice: how many leading n-grams may be another set's too, and which of the
+    prefix. whole: the slice holds all, so sets with too few hits go at once."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for c in ("first", "more"):
+            yield unpack(batch.column(c).to_pylist())
+
+    repeated = leads.sparkSession.sparkContext.broadcast(S.build(leads.select("first", "more"), keys, bits))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, more = (batch.column(c).to_pylist() for c in ("first", "more"))
+            lead, rest = unpack(first), unpack(more)
+            maybe, later = repeated.value.repeated(lead), repeated.value.repeated(rest)
+            ends, more_ends = (np.cumsum([0, *(len(x) // KEY_BYTES for x in c)]) for c in (first, more))
+            among, others = (np.concatenate([[0], np.cumsum(x)]) for x in (maybe, later))
+            hits = among[ends[1:]] - among[ends[:-1]] + others[more_ends[1:]] - others[more_ends[:-1]]
+            kept = np.flatnonzero(hits >= (batch.column("need").to_numpy() if whole else 1))
+            lead = lead << np.uint64(64 - 8 * KEY_BYTES)
+            chosen = [pack(lead[ends[i] : ends[i + 1]][maybe[ends[i] : ends[i + 1]]]) for i in kept.tolist()]
+            taken = [batch.column(c).take(pa.array(kept)) for c in ("d1", "n", "need")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(hits[kept].astype(np.int32)), pa.array(chosen, pa.binary())], names=["d1", "n", "need", "hits", "chosen"])
+
+    return leads.select("d1", "n", "need", "first", "more").mapInArrow(test, "d1 long, n int, need int, hits int, chosen binary")
+
+
+def meetings(gram: np.ndarray, d1: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d1, n, hub) of the sets on lists of several sets; each n-gram has a list for two neighbouring classes of sizes,
+    and the smallest set of a list is its hub."""
+    sizes, which = np.unique(n, return_inverse=True)
+    c = np.array([size_class(int(x), percent) for x in sizes], dtype=np.int64)[which]
+    gram, c, d1, n = np.tile(gram, 2), np.concatenate([c, c + 1]), np.tile(d1, 2), np.tile(n, 2)
+    order = np.lexsort((d1, c, gram))
+    gram, c, d1, n = gram[order], c[order], d1[order], n[order]
+    begins = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (c[1:] != c[:-1])]))
+    sets = np.diff(np.append(begins, len(gram)))
+    hub, most = np.repeat(d1[begins], sets), np.repeat(d1[begins + sets - 1], sets)
+    d1, n, hub = (x[hub < most] for x in (d1, n, hub))
+    _, at = np.unique(np.stack([d1, hub]), axis=1, return_index=True) if len(d1) else (None, np.zeros(0, np.int64))
+    return d1[at], n[at], hub[at]
+
+
+def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -> DataFrame:
+    """(d1, n, hub): the hubs to which each set goes."""
+    # some six bytes a word, so many of its n-grams lead
+    keys = S.total_bytes(docs) / 6 * 2 * (100 - percent) / 100
+    slices = max(1, math.ceil(keys / (1 << S.MOST_BITS - 1)))
+    leads = _leads(docs, size, percent, frequent, slices)
+    if slices == 1:
+        tested = _repeated(leads, S.width_for(keys), True)
+    else:
+        parts = [written(_repeated(leads.where(F.col("slice") == s), S.width_for(keys / slices), False), "tested") for s in range(slices)]
+        every = reduce(DataFrame.unionByName, parts)
+        enough = every.groupBy("d1").agg(F.sum("hits").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("d1")
+        tested = every.join(enough, "d1", "left_semi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.column("chosen").to_pylist()
+            at = pa.array(np.repeat(np.arange(len(chosen)), [len(x) // KEY_BYTES for x in chosen]))
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(chosen).astype(np.int64)), batch.column("d1").take(at), batch.column("n").take(at)], names=["gram", "d1", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by n-gram; whole n-grams are handled together."""
+
+        def made(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in meetings(*rows, percent)], names=["d1", "n", "hub"])
+
+        held, count, most = [], 0, MEET_ROWS
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("gram", "d1", "n")])
+            count += batch.num_rows
+            if count >= most:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield made([c[:cut] for c in rows])
+                held, count = [[c[cut:] for c in rows]], len(rows[0]) - cut
+                most = max(MEET_ROWS, 2 * count)
+        if count:
+            yield made([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    rows = tested.select("d1", "n", "chosen").mapInArrow(spread, "gram long, d1 long, n int")
+    member = written(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, "d1 long, n int, hub long").distinct(), "members")
+    for old in (leads, *([] if slices == 1 else parts)):
+        dropped(old)
+    return member
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id isn't in ids, before any text is shuffled."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield H.mix(batch.column("doc_id").to_numpy().view(np.uint64))
+
+    present = docs.sparkSession.sparkContext.broadcast(S.build(ids.select("doc_id"), keys, S.width_for(2 * ids.count()), single=True))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(present.value.present(next(keys(batch)))))
 
-    tokens = docs.select("text").mapInArrow(scan, "token long, d1 long, n int")
-    hubs = tokens.groupBy(F.col("token").alias("shared")).agg(F.min("d1").alias("hub"), F.max("d1").alias("most")).where("hub < most").drop("most")
-    return tokens.join(hubs, tokens.token == hubs.shared).select("d1", "n", "hub").distinct()
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def long_lists(least: int, longest: int) -> int:
@@ -240,7 +351,7 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
     both = _base(docs, size)
     base = both.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
     frequent = S.merged(both.where("place is not null").select("place", "cells"), _FREQUENT_BITS, FREQUENT)
-    member = written(_memberships(docs, size, percent, frequent), "members")
+    member = _memberships(docs, size, percent, frequent)
     needed = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
     chunked = member.groupBy("hub").agg(needed.alias("parts")).where("parts > 1")
     dealt = member.drop("n").join(chunked, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -248,7 +359,7 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("hub", F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"), "part"))
     sent = dealt.withColumn("part", part).select("d1", F.explode(places).alias("place")).groupBy("d1").agg(F.collect_list("place").alias("places"))
     nodes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    to_send = nodes.join(sent, "d1").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    to_send = written(nodes.join(sent, "d1").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +392,7 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
                 rows[ids[k].as_py()] = (int(parts[k].as_py() != key[1]), grams[k].as_py())
         yield from found(rows, at)
 
-    shipped = docs.join(to_send, "doc_id").mapInArrow(ship, "hub long, i int, j int, part int, doc_id long, grams binary")
+    shipped = _only(docs, to_send).join(to_send, "doc_id").mapInArrow(ship, "hub long, i int, j int, part int, doc_id long, grams binary")
     blocks = shipped.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc_id")
     return base, blocks.mapInArrow(search, "a long, b long")
 

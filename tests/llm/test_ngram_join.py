@@ -140,3 +140,31 @@ def test_texts_whose_polynomial_hashes_collide(spark):
     # words of 1024 bytes that differ in each byte
     df = spark.createDataFrame([(1, f"{a} x {a} y"), (2, f"{other} x {other} y"), (3, f"{a} x {a} y")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_more_leading_grams_than_the_largest_sketch_can_tell_apart(spark, monkeypatch):
+    """In slices the result is the same, and sets that share a single n-gram still don't go to hubs."""
+    monkeypatch.setattr("candor.llm.sketch.MOST_BITS", 11)
+    rng = random.Random(6)
+    rows = family(rng)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert got(components(docs)) == brute([(i, t) for _, i, t, _ in rows])
+    words = [[f"r{rng.randrange(10**9)}" for _ in range(100)] for _ in range(120)]
+    texts = [" ".join(w + words[k - 1][:12]) for k, w in enumerate(words)]  # each shares 9 of 109 with the next one
+    unlike = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    order = ngram_join.S.Sketch(11, 64)
+    assert ngram_join._memberships(unlike, 4, 85, order).count() < 24  # of 120 sets
+    assert {c for _, c in got(components(unlike)).values()} == set(range(120))
+
+
+def test_only_texts_of_sets_at_a_hub_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string").repartition(3)
+    some = spark.createDataFrame([(i,) for i in range(0, 2000, 50)], "doc_id long")
+    kept = {r["doc_id"] for r in ngram_join._only(docs, some).collect()}
+    assert {*range(0, 2000, 50)} <= kept and len(kept) < 200
+
+
+def test_packed_hashes_keep_their_upper_bytes():
+    grams = np.array([1 << 63, (1 << 24) - 1, 0xFFFFFFFFFF000001], dtype=np.uint64)
+    bodies = [ngram_join.pack(grams), b"", ngram_join.pack(grams[:1])]
+    assert ngram_join.unpack(bodies).tolist() == [1 << 39, 0, (1 << 40) - 1, 1 << 39]
