@@ -81,3 +81,24 @@ def test_pairs_of_sums_are_sums_of_pairs(spark):
         mine = [p for p in pairs if f"{p['name']}|{p['other']}" == r["key"] and r["win_start"] <= p["ts"] < r["win_start"] + 20]
         assert r["n_couples"] == len(mine) and r["sum_xy"] == sum(p["x"] * p["y"] for p in mine) and r["sum_y2"] == sum(p["y"] ** 2 for p in mine)
         assert r["ann_degree_sum"] == sum(p["ann_degree_sum"] for p in mine) and r["ann_degree"] == max(p["ann_degree_sum"] for p in mine) and r["ann_n_incons"] == sum(p["ann_n_incons"] for p in mine)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 7])
+def test_variables_are_made_where_the_row_is_and_not_shuffled(spark, monkeypatch, most):
+    """All columns, types and rows stay, also of groups that are cut, rows without key or seq, and early ones."""
+    monkeypatch.setattr(blocks, "MOST", most)
+    rows = some_rows(80, 9)
+    df = frame(spark, rows).withColumn("a.b", F.concat(F.lit("x"), "seq")).withColumn("part", F.struct("v", "p"))
+    odd = df.limit(3).select(*[(F.lit(None) if c == "key" else F.col(f"`{c}`")).cast(t).alias(c) for c, t in df.dtypes])
+    early = df.limit(2).withColumn("ts", F.col("ts") - 1000).withColumn("seq", F.col("seq") + 5000)
+    df = df.unionByName(odd).unionByName(early)
+    for size, slide, emit in ((12, 4, "first"), (12, 4, "all"), (7, 3, "all")):
+        shown = []
+        for mode in ("exact", "blocks"):
+            out = A.annotate(df, [SC, PrimaryKey(("p",))], size, slide, emit=emit, keep_window=True, mode=mode)
+            text = out.withColumn("t", algebra.text(F.col("ann_vars"))).drop("ann_vars")
+            shown.append((text.dtypes, sorted(map(str, text.collect()))))
+            if mode == "blocks" and most > 7:
+                plan = text._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+                assert "MapInArrow" in plan and "hashpartitioning(key#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(key" in x and "_g1" not in x]
+        assert shown[0] == shown[1]
