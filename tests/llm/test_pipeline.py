@@ -66,3 +66,15 @@ def test_empty_table(spark, sf_dir, docs):
     empty = docs.limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, sf_dir).collect() == []
+
+
+def test_the_join_stage_sends_no_unlike_texts_to_hubs_beyond_the_largest_sketch(spark, monkeypatch):
+    monkeypatch.setattr("candor.llm.sketch.MOST_BITS", 11)
+    found, made = [], corpus_pipeline.ngram_join._memberships
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "_memberships", lambda *a: found.append(made(*a)) or found[-1])
+    words = [[f"r{k}x{i}" for i in range(100)] for k in range(120)]
+    texts = [" ".join(w + words[k - 1][:12]) for k, w in enumerate(words)] + [" ".join(words[5] + words[4][:11])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == set(range(120))
+    assert {r["hub"] for r in found[0].collect()} and found[0].count() < 24  # of 121 sets
