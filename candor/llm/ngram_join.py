@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -408,7 +409,25 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = B
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a smaller doc_id of their component stands for."""
-    return without(docs, components(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")))
+    gone = written(components(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    kept, doubtful = _split(docs, gone)
+    return kept.unionByName(without(doubtful, gone))
+
+
+def _split(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that surely aren't in gone(gone_id), the others, which are few more than those): only the latter need a shuffle."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield H.mix(batch.column("gone_id").to_numpy().view(np.uint64))
+
+    present = docs.sparkSession.sparkContext.broadcast(S.build(gone, keys, S.width_for(2 * gone.count()), single=True))
+
+    def test(ids: pd.Series) -> pd.Series:
+        return pd.Series(present.value.present(H.mix(ids.to_numpy(dtype=np.int64).view(np.uint64))))
+
+    # rows without a doc_id stay in any case
+    maybe = F.pandas_udf(test, "boolean")(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))) & F.col("doc_id").isNotNull()
+    return docs.where(~maybe), docs.where(maybe)
 
 
 ORACLE_SQL = r"""

@@ -168,3 +168,15 @@ def test_packed_hashes_keep_their_upper_bytes():
     grams = np.array([1 << 63, (1 << 24) - 1, 0xFFFFFFFFFF000001], dtype=np.uint64)
     bodies = [ngram_join.pack(grams), b"", ngram_join.pack(grams[:1])]
     assert ngram_join.unpack(bodies).tolist() == [1 << 39, 0, (1 << 40) - 1, 1 << 39]
+
+
+def test_dedup_shuffles_only_the_rows_that_may_go(spark, monkeypatch):
+    joined, whole = [], ngram_join.without
+    monkeypatch.setattr(ngram_join, "without", lambda docs, gone: joined.append(docs) or whole(docs, gone))
+    texts = [" ".join(f"x{k}y{i}" for i in range(30)) for k in range(200)]
+    rows = [*enumerate(texts), (200, texts[7]), (201, None), (None, texts[7]), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    kept = dedup(docs)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert kept.schema == docs.schema and sorted(map(key, kept.collect())) == sorted(key(r) for r in rows if r[0] != 200)
+    assert {r["doc_id"] for r in joined[0].collect()} == {200}
