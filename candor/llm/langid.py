@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
 from candor.llm.folds import held_out, sampled
+from candor.llm.shared import giving_back
 
 #: Hash buckets of n-grams, labelled texts to learn from, and the lead below which an answer is ambiguous.
 BUCKETS, SAMPLE, LEAD = 1 << 13, 3000, 0.2
@@ -113,6 +114,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns lang from text, on rows that aren't held out."""
     some = sampled(docs.select("doc_id", "text", "lang").where(~held_out() & F.col("text").isNotNull()), "lang", sample)
 
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in H.text_slices(batch):
@@ -150,6 +152,7 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
+    @giving_back
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in H.text_slices(batch):
@@ -176,6 +179,7 @@ def keep_known(docs: DataFrame, sample: int = SAMPLE, ambiguous: bool = True) ->
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
     @F.pandas_udf("boolean")
+    @giving_back
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
 from candor.llm import sketch as S
-from candor.llm.shared import unused, written
+from candor.llm.shared import giving_back, unused, written
 
 #: Bytes of a line that takes part, at least; edits at most.
 LEAST, EDITS = 24, 2
@@ -251,6 +251,7 @@ def _first_scan(docs: DataFrame, least: int, edits: int, bits: int, short: bool)
         places, payloads = S.partial(np.concatenate(keys), bits)
         yield _rows(PART, len(places), place=places, cells=payloads)
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[], [], [], []]
         keys, held = [], 0
@@ -307,6 +308,7 @@ def _probed(docs: DataFrame, least: int, edits: int, index, bits: int) -> S.Sket
 def _candidates(docs: DataFrame, least: int, edits: int, index, probed) -> DataFrame:
     """(h1, h2, keys, line): lines with keys that other lines may index, or probe for."""
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = indexed(edits)
         for batch in batches:
@@ -350,6 +352,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, block
     texts = wanted.groupBy("h1", "h2").agg(F.first("line").alias("text"))
     placed = earliest.select("h1", "h2", F.col("earliest").alias("at"))
 
+    @giving_back
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list, ids: list, key: tuple) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1 and (gone := repeated_in_block(rows, edits, key[1] != key[2])):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from candor.llm import hashing as H
 from candor.llm import sketch as S
 from candor.llm.components import connected_components
-from candor.llm.shared import dropped, without, written
+from candor.llm.shared import dropped, giving_back, without, written
 
 #: Sets at a hub that one task searches at once, and n-grams in them.
 BLOCK, BLOCK_GRAMS = 2048, 4 << 20
@@ -95,6 +95,7 @@ def _base(docs: DataFrame, size: int) -> DataFrame:
     """One table of two kinds of rows: (doc_id, n, d1, d2) of documents, and parts of the sketch of n-gram counts."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("place", pa.int32()), ("cells", pa.binary())])
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         held = 0
@@ -137,6 +138,7 @@ def _leads(docs: DataFrame, size: int, percent: int, frequent: S.Sketch, slices:
     many leading ones of all slices a linked set shares at least. Sets that a task meets again are left out."""
     order = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -171,6 +173,7 @@ def _repeated(leads: DataFrame, bits: int, whole: bool) -> DataFrame:
 
     repeated = leads.sparkSession.sparkContext.broadcast(S.build(leads.select("first", "more"), keys, bits))
 
+    @giving_back
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, more = (batch.column(c).to_pylist() for c in ("first", "more"))
@@ -218,12 +221,14 @@ def _memberships(docs: DataFrame, size: int, percent: int, frequent: S.Sketch) -
         enough = every.groupBy("d1").agg(F.sum("hits").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("d1")
         tested = every.join(enough, "d1", "left_semi")
 
+    @giving_back
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = batch.column("chosen").to_pylist()
             at = pa.array(np.repeat(np.arange(len(chosen)), [len(x) // KEY_BYTES for x in chosen]))
             yield pa.RecordBatch.from_arrays([pa.array(unpack(chosen).astype(np.int64)), batch.column("d1").take(at), batch.column("n").take(at)], names=["gram", "d1", "n"])
 
+    @giving_back
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by n-gram; whole n-grams are handled together."""
 
@@ -259,6 +264,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     present = docs.sparkSession.sparkContext.broadcast(S.build(ids.select("doc_id"), keys, S.width_for(2 * ids.count()), single=True))
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(present.value.present(next(keys(batch)))))
@@ -362,6 +368,7 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
     nodes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     to_send = written(nodes.join(sent, "d1").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
 
+    @giving_back
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in H.text_slices(batch):
@@ -374,6 +381,7 @@ def links(docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> tuple
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["hub", "i", "j", "part", "doc_id", "grams"])
 
+    @giving_back
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: dict[int, tuple[int, bytes]], key: tuple) -> Iterator[pa.RecordBatch]:
             ids = list(rows)

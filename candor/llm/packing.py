@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candor.llm.shared import giving_back, written
+
 #: If a worker remembers more parts, or more words, than this, it forgets them and starts again.
 REMEMBERED = 700_000
 #: Groups into which the pieces of a length are dealt for numbering.
@@ -109,8 +111,9 @@ class WordIds:
         tokenizer.no_padding()
         model, self.apart, self.tokenizer = tokenizer.model, _words_apart(json.loads(tokenizer.to_str())), tokenizer
         packed = lambda ids: np.array(ids, dtype="<u4").tobytes()
-        self.words = _Remembered(lambda w: packed([t.id for t in model.tokenize(w.translate(_AS_BYTES))]))
-        self.plain = _Remembered(lambda part: b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(part))))
+        # none of these refers to self: what a task remembers goes with it, and doesn't wait for a collection of cycles
+        words = self.words = _Remembered(lambda w: packed([t.id for t in model.tokenize(w.translate(_AS_BYTES))]))
+        self.plain = _Remembered(lambda part: b"".join(map(words.__getitem__, _PLAIN_WORDS.findall(part))))
         self.other = _Remembered(lambda part: packed(tokenizer.encode(part, add_special_tokens=False).ids))
 
     def encode(self, text: str) -> bytes:
@@ -132,6 +135,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, ids: b
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and the ids themselves if asked for)."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
@@ -240,6 +244,7 @@ def pack(made: DataFrame, capacity: Capacity = Capacity(), weights: tuple[float,
     runs = {k: np.array(v, dtype=np.int64).reshape(-1, 4) for k, v in plan(counts, capacity, weights, by).items()}
     shared = spark.sparkContext.broadcast((runs, before))
 
+    @giving_back
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, before = shared.value
         for batch in batches:
@@ -264,6 +269,4 @@ def pack(made: DataFrame, capacity: Capacity = Capacity(), weights: tuple[float,
 
 def pack_documents(docs: DataFrame, path: str, capacity: Capacity = Capacity(), **how) -> DataFrame:
     """Tokenises once, into a table in the shared folder, and packs what it holds."""
-    from candor.llm.shared import written
-
     return pack(written(pieces(docs, path, capacity.tokens), "pieces"), capacity, **how)

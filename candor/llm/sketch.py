@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm import hashing as H
+from candor.llm.shared import giving_back
 
 U64 = np.uint64
 ROWS = 2
@@ -120,8 +121,10 @@ def partial(keys: np.ndarray, bits: int, counted: bool = False, local: int = 1)
     press = zstandard.ZstdCompressor(level=1)
     places, payloads = [], []
     for row in range(ROWS):
-        cell, back, times = np.unique(_cells(keys, row, bits), return_inverse=True, return_counts=True)
-        if weights is not None:
+        if weights is None:  # the way back from cells to keys would take several times the memory of the keys
+            cell, times = np.unique(_cells(keys, row, bits), return_counts=True)
+        else:
+            cell, back = np.unique(_cells(keys, row, bits), return_inverse=True)
             times = np.bincount(back, weights, len(cell)).astype(np.int64)
         edges = np.searchsorted(cell, np.arange((1 << SPLIT) + 1, dtype=U64) << U64(top))
         for k in range(1 << SPLIT):
@@ -140,6 +143,7 @@ def merged(parts: DataFrame, bits: int, heavy: int = 0, single: bool = False) ->
     it holds is one block, however many parts there are."""
     top = bits - SPLIT
 
+    @giving_back
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block() -> pa.RecordBatch:
             maps = [np.packbits(total >= n).tobytes() if n else b"" for n in (int(single), 2, heavy)]
@@ -181,6 +185,7 @@ def build(docs: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]
         places, payloads = partial(np.concatenate(found), bits, bool(heavy))
         return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["place", "cells"])
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
