@@ -126,3 +126,23 @@ def test_stock_combo_joins_no_rows_with_their_degrees(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt_by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert "MapInArrow" in plan and dealt_by and not [x for x in dealt_by if "win_start#" in x]
+
+
+@pytest.mark.parametrize("most", [1 << 19, 7])
+def test_a_row_goes_once_to_its_group_and_on_only_where_a_window_reaches(spark, most):
+    """Two windows in one bucket length: the first half of a bucket is in no window of the next one's records."""
+    df = frame(spark, [{"key": "a", "ts": t, "seq": t, "v": float(t), "p": 0} for t in range(100, 180)]).withColumn("w", F.lit("x"))
+    carried = ["ts", "v", "p", "w"]
+    placed, _, _, there = blocks._dealt(df, [SC, PrimaryKey(("p",))], 20, 10, "first", most, carried)
+    assert there == {"ts": "ts", "v": "n0", "p": "e0", "w": "p3"}
+    got = placed.where("_i = 0 and _j = 0" if most > 80 else "role = 0 and _j = 0 or role = 1 and _i = 0").collect()
+    assert sum(r["role"] != 1 for r in got) == 80 and all((r["p3"] is None) == (r["role"] == 1) for r in got)
+    on = [r["ts"] for r in got if r["_g1"] > r["ts"] // 20]
+    assert sorted(on) == [t for t in range(100, 180) if t % 20 >= 10]
+    assert len(got) == (120 if most > 80 else 200)
+
+
+def test_one_key_shuffles_only_what_it_shows(spark, sf_dir):
+    df = plans.queries()["annotate_values_one_key"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "user_id" in plan and "cents" not in plan
