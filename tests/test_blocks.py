@@ -146,3 +146,21 @@ def test_one_key_shuffles_only_what_it_shows(spark, sf_dir):
     df = plans.queries()["annotate_values_one_key"](spark, sf_dir)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "user_id" in plan and "cents" not in plan
+
+
+@pytest.mark.parametrize("variables", [True, False])
+def test_like_origins_are_compared_once(spark, monkeypatch, variables):
+    """Copies of rows, some within a tick, some with nulls: results of the pair join, by a fraction of its pairs."""
+    rows = [{**r, "seq": r["seq"] + 1000 * k} for k in range(6) for r in some_rows(50, 5)]
+    df = frame(spark, rows).withColumn("v", F.when(F.col("seq") % 1000 != 7, F.col("v")))
+    made, seen = [SC, PrimaryKey(("p",))], []
+    for mode in ("exact", "blocks"):
+        out = A.annotate(df, made, 12, 4, mode=mode, rows_along=True, variables=variables or mode == "exact")
+        seen.append(sorted(map(str, out.select("key", "seq", "ann_degree", *([algebra.text(F.col("ann_vars")).alias("t")] if variables else [])).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 300
+    n = 40 * 6
+    place = np.repeat(np.arange(40), 6)
+    side = blocks._Side({"ts": place.astype(float), "v": place * 1.5}, {"PK": place % 3})
+    rep, weights = blocks._alike(place, side)
+    assert len(rep) == 40 and weights.sum() == n and place[rep].tolist() == list(range(40))
+    assert blocks._alike(np.arange(n), side) is None
